@@ -1,31 +1,75 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again."""
+"""The corpus pipeline: five stages, each written as Parquet and read again.
+
+Each stage takes all that the one before it kept. The first four return the
+columns of ``documents``; the last returns pieces packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm import linededup, minhash, mixing, packing, quality
 from riskloom.llm.base import table
-from riskloom.llm.quality import quality_rules
+from riskloom.llm.queries import MIX_WEIGHTS, domain_of_source, vocabulary
 from riskloom.scratch import Scratch
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The share of its input's tokens that the mix keeps; no document is taken twice.
+MIX_SHARE = 0.9
+
+
+def _with_text(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """rows (_row: the columns besides the text) with a new text and its length, as docs has its columns."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return rows.select(*(new[c].alias(c) if c in new else F.col(f"_row.{c}").alias(c) for c in docs.columns))
+
+
+def _row(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*(c for c in docs.columns if c not in ("text", "n_chars"))).alias("_row"), "text")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that failed."""
-    judged = quality_rules(docs.withColumn("_row", F.struct("doc_id", "lang", "source")), id_col="_row")
-    kept = judged.filter("kept").select("doc_id.*", F.col("clean_text").alias("text"))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    judged = quality.quality_rules(_row(docs), id_col="_row").withColumnRenamed("doc_id", "_row")
+    return _with_text(docs, judged.filter("kept"), "clean_text")
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without runs of lines that stand earlier; those of which nothing is left go."""
+    left = linededup.dedup_lines(_row(docs), id_col="_row").filter("n_deleted = 0 or trim(text) <> ''")
+    return _with_text(docs, left, "text")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class."""
+    classes = minhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
+    return docs.join(classes, docs["doc_id"].eqNullSafe(classes["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of what is left, by the weights of the registered query."""
+    return mixing.mix(docs, domain_of_source(), MIX_WEIGHTS, budget_share=MIX_SHARE, max_epochs=1).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("quality", quality_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: Signatures, tokenizers and packing have no SQL form; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before, docs = docs, scratch.put(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         scratch.free(before)
     return docs
