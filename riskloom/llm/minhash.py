@@ -41,14 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.base import slices
-from riskloom.llm.components import components
+from riskloom.operators.components import components
 from riskloom.scratch import Scratch
 
 SHINGLE, BANDS, ROWS = 5, 28, 5
 PLACES = BANDS * ROWS
 MEMO = 300_000
-#: Standard errors of an estimate by which a pair may miss the threshold and still be checked.
-SLACK = 5.0
 #: Texts of a block in the larger buckets; those with SMALL texts pair up directly.
 BLOCK, SMALL = 512, 16
 _U = np.uint64
@@ -162,27 +160,11 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, step):
             part = b.slice(at, step)
             bags = [shingles.of(t) for t in part.column("text").to_pylist()]
-            sig = signatures(bags)
             content = [xxhash.xxh3_128_digest(h.tobytes() + c.tobytes()) for h, c in bags]
-            keys = band_keys(sig)
+            keys = band_keys(signatures(bags))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            arrays = [part.column("doc_id"), part.column("hash"), pa.array(content, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "hash", "content", "sig", "bands"])
-
-
-def could_link(threshold: float) -> float:
-    """Least share of equal places of a pair that is still checked."""
-    return threshold - SLACK * (threshold * (1 - threshold) / PLACES) ** 0.5
-
-
-def likely(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, PLACES) for c in ("sig_a", "sig_b"))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= could_link(threshold)))
-
-    return run
+            arrays = [part.column("doc_id"), part.column("hash"), pa.array(content, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "hash", "content", "bands"])
 
 
 def check(threshold: float):
@@ -268,56 +250,54 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "minhash")
     given = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
     texts = given.filter("text is not null")
-    signed = scratch.put(texts.mapInArrow(sign, "doc_id long, hash long, content binary, sig binary, bands array<long>"), "signed")
+    signed = scratch.put(texts.mapInArrow(sign, "doc_id long, hash long, content binary, bands array<long>"), "signed")
 
     # one text of each content goes on, under a number of its own
     first = signed.groupBy("content").agg(F.min(F.struct("doc_id", "hash")).alias("f"))
     first = scratch.put(first.select("content", "f.*", F.monotonically_increasing_id().alias("key")), "first")
     alike = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["hash"] == y["hash"])
-    kept = signed.join(first.drop("content"), alike(signed, first)).select("key", signed["doc_id"], signed["hash"], "sig", "bands")
-    kept = scratch.put(kept.dropDuplicates(["key"]), "kept")
-    sigs = kept.select("key", "sig")
-
-    rows = kept.select("key", F.explode("bands").alias("bucket"))
+    kept = signed.join(first.drop("content"), alike(signed, first)).select("key", "bands").dropDuplicates(["key"])
+    rows = scratch.put(kept.select("key", F.explode("bands").alias("bucket")), "buckets")
     sizes = scratch.put(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    rows = scratch.put(rows.join(sizes, "bucket"), "rows")
-    company = scratch.put(rows.groupBy("key").agg(F.sum("n").alias("company")), "company")
-    rows = scratch.put(rows.join(company, "key"), "ranked")
-    centres = rows.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("key")).alias("k"))).alias("c"))
+    shared = scratch.put(rows.join(sizes, "bucket"), "shared")
+    scratch.free(rows)
+
+    company = shared.groupBy("key").agg(F.sum("n").alias("company"))
+    shared = scratch.put(shared.join(company, "key"), "ranked")
+    centres = shared.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("key")).alias("k"))).alias("c"))
     centres = scratch.put(centres.select("bucket", (-F.col("c.k")).alias("a")), "centres")
-    stars = scratch.put(rows.join(centres, "bucket").filter("a <> key").select("a", F.col("key").alias("b")).distinct(), "stars")
+    stars = shared.join(centres, "bucket").filter("a <> key").select("a", F.col("key").alias("b")).distinct()
 
-    def text_of(keys: DataFrame) -> DataFrame:
-        ids = scratch.put(kept.select("key", "doc_id", "hash").join(keys, "key", "left_semi"), "used")
-        return texts.join(ids, alike(texts, ids)).select("key", "text").dropDuplicates(["key"])
+    # the texts that share a bucket are fetched once; they move by key at every size
+    ids = first.join(shared.select("key").distinct(), "key", "left_semi").select("key", "doc_id", "hash")
+    ids = scratch.put(ids, "ids")
+    own = texts.hint("merge").join(ids, alike(texts, ids)).select("key", "text").dropDuplicates(["key"])
+    own = scratch.put(own, "texts")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        x, y = (sigs.select(F.col("key").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b")
-        close = scratch.put(both.mapInArrow(likely(threshold), "a long, b long"), "likely")
-        own = scratch.put(text_of(close.select(F.col("a").alias("key")).union(close.select("b"))), "texts")
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
         x, y = (own.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        both = close.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b")
-        out = scratch.put(both.mapInArrow(check(threshold), "a long, b long"), "links")
-        scratch.free(own, close)
-        return out
+        both = pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b")
+        return scratch.put(both.mapInArrow(check(threshold), "a long, b long"), name)
 
-    links = checked(stars)
-    roots = scratch.put(components(links, scratch), "roots").withColumnRenamed("node", "key")
+    links = checked(scratch.put(stars, "stars"), "links")
 
-    # buckets that still hold several components
-    member = rows.select("bucket", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # buckets that may hold several components: their texts' least centres differ
+    near = links.select(F.col("b").alias("key"), F.least("a", "b").alias("r")).union(links.select("a", F.least("a", "b")))
+    near = scratch.put(near.groupBy("key").agg(F.min("r").alias("r")), "near")
+    jump = near.join(near.select(F.col("key").alias("r"), F.col("r").alias("root")), "r", "left").select("key", F.coalesce("root", "r").alias("root"))
+    member = shared.select("bucket", "key", "n").join(jump, "key", "left").withColumn("root", F.coalesce("root", "key"))
     member = scratch.put(member, "member")
     mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
     member = scratch.put(member.join(scratch.put(mixed, "mixed"), "bucket"), "mixed-members")
     big = member.filter(F.col("n") > SMALL)
-    items = text_of(big.select("key")).mapInArrow(listed, "key long, items binary")
+    items = own.join(big.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(listed, "key long, items binary")
     rest = _small_pairs(member).union(_block_pairs(big, items, threshold, scratch)).distinct()
-    more = checked(scratch.put(rest, "rest"))
-    roots = scratch.put(components(links.union(more), scratch), "all-roots").withColumnRenamed("node", "key")
+    more = checked(scratch.put(rest, "rest"), "more-links")
+    roots = scratch.put(components(links.union(more), scratch), "roots").withColumnRenamed("node", "key")
+    scratch.free(own, shared, member)
 
     classes = first.select("key", "content", "doc_id").join(roots, "key", "left")
-    classes = scratch.put(classes.select("content", "doc_id", F.coalesce("root", "key").alias("root")), "classes")
+    classes = classes.select("content", "doc_id", F.coalesce("root", "key").alias("root"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = scratch.put(classes.join(least, "root").select("content", "class_id"), "named")
     out = signed.select("doc_id", "content").join(named, "content").select("doc_id", "class_id")
