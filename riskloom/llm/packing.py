@@ -20,7 +20,10 @@ result. Other columns are not read.
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,50 +35,96 @@ from pyspark.sql import functions as F
 from riskloom.llm.base import slices
 from riskloom.scratch import Scratch
 
-MEMO, MEMO_LEN = 300_000, 48
+#: Words, and pieces of words, that a Python worker keeps, and the longest of the words.
+MEMO, MEMO_LEN = 500_000, 48
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
 _SPACES = str.maketrans("\n\r\t", "   ")
+#: Letters whose lower case and composition are one to one, then a run of punctuation.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|&%$#*()]*)")
 
 
 class WordIds:
     """Token ids as the tokenizers library gives them, packed as little-endian uint32.
 
     White space always ends a token here and is dropped, so a text's ids are those
-    of its words in turn; short words are kept.
+    of its words in turn. Words are kept; a new one that is letters and then common
+    punctuation is two pieces in lower case for this tokenizer, which are kept too
+    and encoded many at a time: each ends with an id that ends a piece.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._of = Tokenizer.from_file(path)
+        vocabulary = self._of.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._memo: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {"": b""}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self._of.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the tokenizer doesn't cut further."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 1000):
+            part = pieces[at : at + 1000]
+            ids = np.array(self._of.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = (np.flatnonzero(self._ends[ids]) + 1).tolist()
+            if len(stops) != len(part):  # not a vocabulary that marks the ends of pieces
+                out += self._whole(part)
+                continue
+            data = ids.tobytes()
+            out += [data[4 * i : 4 * j] for i, j in zip([0, *stops], stops, strict=False)]
+        return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._of.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, words: set[str]) -> None:
+        if len(self._pieces) > MEMO:
+            self._pieces = {"": b""}
+        simple, other, pieces = [], [], set()
+        for w in words:
+            if m := _SIMPLE.fullmatch(w):
+                simple.append((w, m[1].lower(), m[2]))
+                pieces.add(simple[-1][1])
+                pieces.add(m[2])
+            else:
+                other.append(w)
+        new = list(pieces.difference(self._pieces))
+        self._pieces.update(zip(new, self._encode(new), strict=True))
+        self._memo.update((w, self._pieces[a] + self._pieces[b]) for w, a, b in simple)
+        self._memo.update(zip(other, self._whole(other), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [t.translate(_SPACES).split(" ") for t in texts]
-        new = set().union(*parts).difference(self._memo)
+        parts = [(t.translate(_SPACES) if "\t" in t or "\r" in t else t.replace("\n", " ")).split(" ") for t in texts]
+        words = set().union(*parts)
+        new = words.difference(self._memo)
         if len(self._memo) + len(new) > MEMO:
             self._memo.clear()
-            new = set().union(*parts)
-        listed = list(new)
-        self._memo.update(zip(listed, self._encode(listed), strict=True))
+            new = words
+        self._learn(new)
         out = [b"".join(map(self._memo.__getitem__, p)) for p in parts]
-        for w in listed:
-            if len(w) > MEMO_LEN:
-                del self._memo[w]
+        for w in [w for w in new if len(w) > MEMO_LEN]:
+            del self._memo[w]
         return out
 
 
+_tokenizers: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, so that its tasks share the words that it keeps."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordIds(path)
+    return _tokenizers[path]
+
+
 def cut(path: str, end_id: int, width: int):
     """Token pieces of each text, numbered by length within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, end = WordIds(path), np.array([end_id], "<u4").tobytes()
+        tokens, end = word_ids(path), np.array([end_id], "<u4").tobytes()
         seen, part, step = [0] * (width + 1), TaskContext.get().partitionId(), 4 * width
         for b in slices(batches, "text"):
             rows: list[tuple] = []

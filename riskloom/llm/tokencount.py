@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.base import slices
 from riskloom.scratch import Scratch
 
-#: Words that a task keeps, and the longest of them.
-MEMO, MEMO_LEN = 300_000, 48
+#: Words that a Python worker keeps, and the longest of them.
+MEMO, MEMO_LEN = 500_000, 48
 BLANK = "▁"
 
 
@@ -72,13 +72,23 @@ class PieceCounter:
         return out
 
 
+_counters: dict[str, PieceCounter] = {}
+
+
+def piece_counter(path: str) -> PieceCounter:
+    """One for each Python worker, so that its tasks share the words that it keeps."""
+    if path not in _counters:
+        _counters[path] = PieceCounter(path)
+    return _counters[path]
+
+
 def tokenizer_digest(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes() + b"\nno added tokens").hexdigest()
 
 
 def count_misses(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path)
+        counter = piece_counter(path)
         for b in slices(batches, "text"):
             n = counter.counts(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
