@@ -38,7 +38,7 @@ def circular(tx: DataFrame, accounts: DataFrame, least_c: int = 100_000, shortes
         reach = path.withColumn("from_us", F.col("at_us") + 1).withColumn("until_us", F.col("start_us") + span)
         grown = within(reach, step, "node", "next_us", "from_us", "until_us", span).filter("before <= at_us")
         if length >= shortest:
-            closed = grown.filter("next = start").withColumn("length", F.size("nodes"))
+            closed = grown.filter("next = start").withColumn("length", F.size("nodes").cast("long"))
             found.append(closed.select("nodes", F.concat("tx_ids", F.array("next_id")).alias("tx_ids"), "length", "start_us", F.col("next_us").alias("end_us"), "out_c", F.col("next_c").alias("back_c"), "start_pos"))
         grown = grown.filter(~F.array_contains("nodes", F.col("next")))
         path = grown.select(

@@ -112,6 +112,7 @@ CTES = [
   FROM (SELECT *, c_custkey AS k FROM customer)))""",
     "ends AS (SELECT src AS account_id, us, amount_c, tx_pos, tx_id, channel FROM tx UNION ALL SELECT dst, us, amount_c, tx_pos, tx_id, channel FROM tx)",
     "pairs AS (SELECT src, dst, CAST(sum(amount_c) AS BIGINT) AS total_c, max(amount_c) AS max_c, count(*) AS n FROM tx GROUP BY src, dst)",
+    f"ages AS (SELECT account_id, CAST(floor(((SELECT max(us) FROM tx) - epoch_us(CAST(opened_at AS TIMESTAMP))) / {24 * H}e0) AS BIGINT) AS age FROM acc)",
     f"""structuring AS (SELECT dst AS account_id, n, CAST(total_c AS BIGINT) AS total_c, {rnd("cl", 2)} AS closeness, {rnd("sp", 1)} AS span_hours,
   {rnd("least(1e0, 0.6e0 + 0.1e0 * (n - 3) + 0.18e0 * cl + 0.12e0 * (1e0 - least(1e0, sp / 72e0)))", 2)} AS score, us AS start_us, end_us
   FROM (SELECT *, greatest(0e0, least(1e0, (total_c / n / 1000000e0 - 0.7e0) / 0.3e0)) AS cl, (end_us - us) / {H}e0 AS sp
@@ -126,7 +127,6 @@ CTES = [
     f"""dormant_reactivation AS (SELECT account_id, age AS account_age_days, in_c, out_c, {rnd("took", 1)} AS hours,
   {rnd("least(1e0, 0.55e0 + 0.25e0 * greatest(0e0, 1e0 - took / 24e0) + 0.2e0 * least(1e0, age / 1095e0))", 2)} AS score, start_us, end_us
   FROM dormant_first JOIN ages USING (account_id) WHERE age >= 365)""",
-    f"ages AS (SELECT account_id, CAST(floor(((SELECT max(us) FROM tx) - epoch_us(CAST(opened_at AS TIMESTAMP))) / {24 * H}e0) AS BIGINT) AS age FROM acc)",
     f"""round_amounts AS (SELECT account_id, n AS round_tx_count, {rnd("n / al", 2)} AS round_share, ids AS tx_ids, {rnd("least(1e0, 0.3e0 + 0.08e0 * (n - 3) + 0.3e0 * (n / al))", 2)} AS score
   FROM (SELECT account_id, count(*) FILTER (c) AS n, count(*) AS al, (list(tx_id ORDER BY tx_pos) FILTER (c))[1:10] AS ids
         FROM (SELECT *, amount_c % 100000 = 0 AND amount_c >= 100000 AS c FROM ends) GROUP BY account_id) WHERE n >= 3)""",
@@ -151,7 +151,7 @@ CTES = [
     f"""circular AS (SELECT * FROM (SELECT list_sort(nodes) AS members, nodes, tx_ids, len(nodes) AS length, {rnd("back_c / out_c", 2)} AS retention, {rnd(f"(at_us - start_us) / {H}e0", 1)} AS hours,
   {rnd(f"least(1e0, 0.5e0 * (back_c / out_c) + 0.5e0 * (1e0 - least(1e0, ((at_us - start_us) / {H}e0) / 72e0)))", 2)} AS score, start_us, at_us AS end_us, start_pos
   FROM chain WHERE closed AND len(nodes) >= 3 AND back_c * 10 >= out_c * 7 AND back_c * 4 <= out_c * 5)
-  WHERE len(list_filter(members, lambda m: list_contains((SELECT coalesce(list(account_id), []) FROM acc WHERE {LEGIT}), m))) < len(members)
+  WHERE NOT list_has_all((SELECT coalesce(list(account_id), []) FROM acc WHERE {LEGIT}), members)
   QUALIFY row_number() OVER (PARTITION BY members ORDER BY score DESC, start_us, start_pos, nodes) = 1)""",
     "findings AS (SELECT 'circular' AS detector, 'subgraph' AS kind, members AS ids, score, CAST(NULL AS VARCHAR[]) AS cps FROM circular"
     + "".join(f" UNION ALL SELECT '{d}', 'account', [account_id], score, {'counterparties' if d.startswith('fan') else 'NULL'} FROM {d}" for d in ("structuring", "passthrough", "fiat_to_crypto", "round_amounts", "dormant_reactivation", "activity_spike", "device_linkage", "fan_in", "fan_out"))

@@ -16,7 +16,9 @@ def evaluate(risk: DataFrame, rings: DataFrame, mules: DataFrame, true_rings: Da
     """
     flagged = risk.filter(F.col("risk") >= tau).select("account_id", F.lit(1).alias("p")).distinct()
     both = flagged.join(mules.select("account_id", F.lit(1).alias("t")).distinct(), "account_id", "full")
-    counts = both.agg(F.count_if("p = 1 and t = 1").alias("tp"), F.count_if("p = 1 and t is null").alias("fp"), F.count_if("p is null").alias("fn"))
+    counts = both.agg(F.count("*").alias("n"), F.count("p").alias("flagged"), F.count("t").alias("true"))
+    # every row of the full join is flagged, true or both
+    counts = counts.select((F.col("flagged") + F.col("true") - F.col("n")).alias("tp"), (F.col("n") - F.col("true")).alias("fp"), (F.col("n") - F.col("flagged")).alias("fn"))
     flat = lambda r, n: r.select(F.col("ring_id").alias(n), F.explode(F.array_distinct("account_ids")).alias("a"), F.size(F.array_distinct("account_ids")).alias(f"{n}_size"))
     shared = flat(rings, "d").join(flat(true_rings, "t"), "a").groupBy("d", "t", "d_size", "t_size").agg(F.count("*").alias("n"))
     hit = shared.agg(
