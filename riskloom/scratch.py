@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,18 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_riskloom_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="riskloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    root = Path(__file__).resolve().parent
+    context.addPyFile(shutil.make_archive(f"{folder}/riskloom", "zip", root.parent, root.name))
+    context._riskloom_shipped = True
+
+
 class Scratch:
     """Written and reread tables that cut lineage; lost executors cost a reread only.
 
@@ -35,6 +49,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
