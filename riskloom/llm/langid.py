@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.base import fold, slices
+from riskloom.scratch import ship
 
 BITS, GRAMS = 14, 3
 BUCKETS = 1 << BITS
@@ -117,6 +118,7 @@ class Model:
 
 
 def train(docs: DataFrame, max_langs: int = 200) -> Model:
+    ship(docs.sparkSession)
     rows = docs.filter("text is not null and lang is not null").select("text", F.col("lang").cast("string"))
     summed = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
@@ -129,6 +131,7 @@ def train(docs: DataFrame, max_langs: int = 200) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every row."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # max_langs x BUCKETS numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
