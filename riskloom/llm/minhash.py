@@ -220,26 +220,34 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def across(threshold: float):
-    """Links between two blocks of a bucket that join different components.
+    """Links between two blocks of a bucket: those that join components, as few as do.
 
-    For each text on the left and component on the right, its best link is enough.
+    The best links come first and join what the blocks hold; a link within what
+    is joined already says nothing new.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
+        pairs: list[tuple[int, int]] = []
         if len(left) and len(right):
             x, y = ([np.frombuffer(v, np.uint32) for v in f["items"]] for f in (left, right))
             both = overlaps(x, y)
             total = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])
             near = both / np.maximum(total - both, 1)
-            for i in np.flatnonzero((near >= threshold - 1e-3).any(axis=1)):
-                best: dict[int, int] = {}
-                for j in np.flatnonzero(near[i] >= threshold - 1e-3):
-                    root = right["root"].iat[j]
-                    if root != left["root"].iat[i] and (root not in best or near[i, j] > near[i, best[root]]):
-                        best[root] = j
-                out += [(left["id"].iat[i], right["id"].iat[j]) for j in best.values()]
-        pairs = [(min(p), max(p)) for p in out]
+            p, q = left["root"].to_numpy(), right["root"].to_numpy()
+            i, j = np.nonzero((near >= threshold - 1e-3) & (p[:, None] != q))
+            order = np.argsort(-near[i, j], kind="stable")
+            joined: dict[int, int] = {}
+
+            def root(r: int) -> int:
+                while r in joined:
+                    r = joined[r]
+                return r
+
+            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                u, v = root(p[a]), root(q[b])
+                if u != v:
+                    joined[max(u, v)] = min(u, v)
+                    pairs.append(tuple(sorted((left["id"].iat[a], right["id"].iat[b]))))
         return pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, dtype="int64")
 
     return run
@@ -281,11 +289,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     links = checked(scratch.put(stars, "stars"), "links")
 
-    # buckets that may hold several components: their texts' least centres differ
-    near = links.select(F.col("b").alias("key"), F.least("a", "b").alias("r")).union(links.select("a", F.least("a", "b")))
-    near = scratch.put(near.groupBy("key").agg(F.min("r").alias("r")), "near")
-    jump = near.join(near.select(F.col("key").alias("r"), F.col("r").alias("root")), "r", "left").select("key", F.coalesce("root", "r").alias("root"))
-    member = shared.select("bucket", "key", "n").join(jump, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # buckets that still hold several components
+    roots = scratch.put(components(links, scratch), "star-roots").withColumnRenamed("node", "key")
+    member = shared.select("bucket", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     member = scratch.put(member, "member")
     mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
     member = scratch.put(member.join(scratch.put(mixed, "mixed"), "bucket"), "mixed-members")
