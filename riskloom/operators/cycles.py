@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import HOUR, at_most_one, hours, r2, rounded
 from riskloom.operators.ranges import within
 from riskloom.operators.windows import pairs
+from riskloom.scratch import Scratch
 
 SPAN = 72 * HOUR
 
@@ -22,11 +23,13 @@ def circular(tx: DataFrame, accounts: DataFrame, least_c: int = 100_000, shortes
     Among the proofs of one set of accounts the best score counts, then the one
     that starts earliest. Cycles of established businesses alone are left out.
     """
+    scratch = Scratch(tx.sparkSession, "cycles")
     money = pairs(tx).filter((F.col("max_c") >= least_c) & (F.col("src") != F.col("dst"))).select("src", "dst")
     order = Window.partitionBy("src", "dst").orderBy("us", "tx_pos")
     hops = tx.select("src", "dst", "us", "tx_pos", "tx_id", "amount_c").join(money, ["src", "dst"])
     # a pair's first transaction after t is the one with before <= t < us
     hops = hops.withColumn("before", F.coalesce(F.lag("us").over(order), F.lit(-(2**62)))).filter("before < us")
+    hops = scratch.put(hops, "hops")
     first = hops.filter(F.col("before") == -(2**62))
     path = first.select(
         F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("nodes"), F.array("tx_id").alias("tx_ids"),
@@ -37,10 +40,11 @@ def circular(tx: DataFrame, accounts: DataFrame, least_c: int = 100_000, shortes
     for length in range(2, longest + 1):
         reach = path.withColumn("from_us", F.col("at_us") + 1).withColumn("until_us", F.col("start_us") + span)
         grown = within(reach, step, "node", "next_us", "from_us", "until_us", span).filter("before <= at_us")
+        grown = scratch.put(grown.filter(~F.array_contains("nodes", F.col("next")) | (F.col("next") == F.col("start"))), f"hop{length}")
         if length >= shortest:
             closed = grown.filter("next = start").withColumn("length", F.size("nodes").cast("long"))
             found.append(closed.select("nodes", F.concat("tx_ids", F.array("next_id")).alias("tx_ids"), "length", "start_us", F.col("next_us").alias("end_us"), "out_c", F.col("next_c").alias("back_c"), "start_pos"))
-        grown = grown.filter(~F.array_contains("nodes", F.col("next")))
+        grown = grown.filter("next <> start")
         path = grown.select(
             "start", F.col("next").alias("node"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("tx_ids", F.array("next_id")).alias("tx_ids"),
             "start_us", F.col("next_us").alias("at_us"), "out_c", "start_pos",

@@ -28,17 +28,16 @@ def device_linkage(accounts: DataFrame, least: int = 3, keep: int = 10) -> DataF
         *(F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in KEYS),
         F.array_sort(F.collect_list(F.concat_ws("=", "key", "value"))).alias("shared"),
     )
-    counted = mine
-    terms = F.lit(0)
-    for r in range(1, len(KEYS) + 1):
-        for keys in itertools.combinations(KEYS, r):
-            name = "_n_" + "_".join(keys)
-            same = mine.filter(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.count("*").alias(name))
-            counted = counted.join(same, list(keys), "left")
-            terms = terms + F.lit((-1) ** (r + 1)) * F.coalesce(F.col(name), F.lit(0))
+    # each set of identifiers an account has, with the sign that it counts with
+    sets = [ks for r in range(1, len(KEYS) + 1) for ks in itertools.combinations(KEYS, r)]
+    value = lambda ks: F.when(F.expr(" and ".join(f"{k} is not null" for k in ks)), F.to_json(F.struct(*ks)))
+    held_sets = F.array_compact(F.array(*(F.when(value(ks).isNotNull(), F.struct(value(ks).alias("s"), F.lit((-1) ** (len(ks) + 1)).alias("sign"))) for ks in sets)))
+    flat_sets = mine.select("account_id", F.explode(held_sets).alias("h")).select("account_id", "h.*")
+    terms = flat_sets.join(flat_sets.groupBy("s").agg(F.count("*").alias("n")), "s").groupBy("account_id").agg(F.sum(F.col("sign") * F.col("n")).alias("cluster_size"))
+    counted = mine.select("account_id", "shared").join(terms, "account_id")
     rank = F.row_number().over(Window.partitionBy("key", "value").orderBy("account_id"))
     lowest = held.withColumn("rank", rank).filter(F.col("rank") <= keep + 1).groupBy("key", "value").agg(F.collect_list("account_id").alias("low"))
     near = held.join(lowest, ["key", "value"]).groupBy("account_id").agg(F.flatten(F.collect_list("low")).alias("low"))
     others = F.slice(F.array_sort(F.array_remove(F.array_distinct("low"), F.col("account_id"))), 1, keep)
-    out = counted.withColumn("cluster_size", terms).join(near.select("account_id", others.alias("linked_accounts")), "account_id")
+    out = counted.join(near.select("account_id", others.alias("linked_accounts")), "account_id")
     return out.select("account_id", "cluster_size", "shared", "linked_accounts", r2(at_most_one(0.4 + 0.1 * F.col("cluster_size"))).alias("score"))

@@ -11,6 +11,7 @@ from riskloom.operators import communities, cycles, linkage, paths, ranges, wind
 from riskloom.operators.components import components
 from riskloom.plans import rings, score
 from riskloom.plans.findings import find
+from riskloom.schema import ACCOUNT
 from riskloom.scratch import Scratch
 from riskloom.sources.ledger import of
 
@@ -22,9 +23,7 @@ def ledger(spark, tx, accounts=()):
     rows = [(f"t{i}", int((T0 + timedelta(hours=x[3])).timestamp() * 1_000_000), x[0], x[1], round(x[2] * 100), x[4] if len(x) > 4 else "sepa", x[5] if len(x) > 5 else None, i) for i, x in enumerate(tx)]
     frame = spark.createDataFrame(rows, "tx_id string, us long, src string, dst string, amount_c long, channel string, tx_country string, tx_pos long")
     known = {"account_id": "none", "account_type": "personal", "country": "GR", "opened_at": "2020-01-01", "kyc_risk": "low"}
-    who = spark.createDataFrame([known | a for a in accounts] or [known])
-    if not accounts:
-        who = who.limit(0)
+    who = spark.createDataFrame([known | a for a in accounts], ", ".join(f"{n} {t}" for n, t, _ in ACCOUNT))
     return of(who, frame)
 
 
