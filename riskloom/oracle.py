@@ -52,6 +52,29 @@ def fan(name: str, hub: str, party: str) -> str:
         FROM {name}_best h JOIN tx t ON t.{hub} = h.hub AND t.us BETWEEN h.us AND h.us + {48 * H} LEFT JOIN acc ON account_id = h.hub GROUP BY ALL))"""
 
 
+def round_amounts(name: str, step: int) -> str:
+    return f"""{name} AS (SELECT account_id, n AS round_tx_count, {rnd("n / al", 2)} AS round_share, ids AS tx_ids, {rnd("least(1e0, 0.3e0 + 0.08e0 * (n - 3) + 0.3e0 * (n / al))", 2)} AS score
+  FROM (SELECT account_id, count(*) FILTER (c) AS n, count(*) AS al, (list(tx_id ORDER BY tx_pos) FILTER (c))[1:10] AS ids
+        FROM (SELECT *, amount_c % {step} = 0 AND amount_c >= {step} AS c FROM ends) GROUP BY account_id) WHERE n >= 3)"""
+
+
+def cycles(chain: str, name: str, longest: int, span: int) -> list[str]:
+    took = f"(at_us - start_us) / {H}e0"
+    return [
+        f"""{chain}(start, node, nodes, tx_ids, start_us, at_us, out_c, back_c, start_pos, closed) AS (
+  SELECT src, dst, [src, dst], [tx_id], us, us, amount_c, amount_c, tx_pos, false FROM hops WHERE bef = -4000000000000000000
+  UNION ALL
+  SELECT p.start, h.dst, CASE WHEN h.dst = p.start THEN p.nodes ELSE list_append(p.nodes, h.dst) END, list_append(p.tx_ids, h.tx_id), p.start_us, h.us, p.out_c, h.amount_c, p.start_pos, h.dst = p.start
+  FROM {chain} p JOIN hops h ON h.src = p.node AND h.us > p.at_us AND h.bef <= p.at_us AND h.us <= p.start_us + {span * H}
+  WHERE NOT p.closed AND (h.dst = p.start OR (len(p.nodes) < {longest} AND NOT list_contains(p.nodes, h.dst))))""",
+        f"""{name} AS (SELECT * FROM (SELECT list_sort(nodes) AS members, nodes, tx_ids, len(nodes) AS length, {rnd("back_c / out_c", 2)} AS retention, {rnd(took, 1)} AS hours,
+  {rnd(f"least(1e0, 0.5e0 * (back_c / out_c) + 0.5e0 * (1e0 - least(1e0, ({took}) / {span}e0)))", 2)} AS score, start_us, at_us AS end_us, start_pos
+  FROM {chain} WHERE closed AND len(nodes) >= 3 AND back_c * 10 >= out_c * 7 AND back_c * 4 <= out_c * 5)
+  WHERE NOT list_has_all((SELECT coalesce(list(account_id), []) FROM acc WHERE {LEGIT}), members)
+  QUALIFY row_number() OVER (PARTITION BY members ORDER BY score DESC, start_us, start_pos, nodes) = 1)""",
+    ]
+
+
 def flags(spec: str) -> str:
     return ", ".join(f"k % {n} = 0 AS {c}" for c, n in (x.split(":") for x in spec.split()))
 
@@ -127,9 +150,8 @@ CTES = [
     f"""dormant_reactivation AS (SELECT account_id, age AS account_age_days, in_c, out_c, {rnd("took", 1)} AS hours,
   {rnd("least(1e0, 0.55e0 + 0.25e0 * greatest(0e0, 1e0 - took / 24e0) + 0.2e0 * least(1e0, age / 1095e0))", 2)} AS score, start_us, end_us
   FROM dormant_first JOIN ages USING (account_id) WHERE age >= 365)""",
-    f"""round_amounts AS (SELECT account_id, n AS round_tx_count, {rnd("n / al", 2)} AS round_share, ids AS tx_ids, {rnd("least(1e0, 0.3e0 + 0.08e0 * (n - 3) + 0.3e0 * (n / al))", 2)} AS score
-  FROM (SELECT account_id, count(*) FILTER (c) AS n, count(*) AS al, (list(tx_id ORDER BY tx_pos) FILTER (c))[1:10] AS ids
-        FROM (SELECT *, amount_c % 100000 = 0 AND amount_c >= 100000 AS c FROM ends) GROUP BY account_id) WHERE n >= 3)""",
+    round_amounts("round_amounts", 100_000),
+    round_amounts("round_relaxed", 1_000),
     f"""spans AS (SELECT account_id, us, count(*) OVER w AS n, sum(amount_c) OVER w AS v, max(us) OVER w AS e, count(*) OVER (PARTITION BY account_id) AS al FROM ends
   WINDOW w AS (PARTITION BY account_id ORDER BY us RANGE BETWEEN CURRENT ROW AND {24 * H} FOLLOWING))""",
     spike("activity_spike", 5, 5, 2_000_000),
@@ -142,17 +164,8 @@ CTES = [
     fan("fan_in", "dst", "src"),
     fan("fan_out", "src", "dst"),
     "hops AS (SELECT * FROM (SELECT t.*, coalesce(lag(us) OVER (PARTITION BY src, dst ORDER BY us, tx_pos), -4000000000000000000) AS bef FROM tx t SEMI JOIN (SELECT * FROM pairs WHERE max_c >= 100000 AND src <> dst) p USING (src, dst)) WHERE bef < us)",
-    f"""chain(start, node, nodes, tx_ids, start_us, at_us, out_c, back_c, start_pos, closed) AS (
-  SELECT src, dst, [src, dst], [tx_id], us, us, amount_c, amount_c, tx_pos, false FROM hops WHERE bef = -4000000000000000000
-  UNION ALL
-  SELECT p.start, h.dst, CASE WHEN h.dst = p.start THEN p.nodes ELSE list_append(p.nodes, h.dst) END, list_append(p.tx_ids, h.tx_id), p.start_us, h.us, p.out_c, h.amount_c, p.start_pos, h.dst = p.start
-  FROM chain p JOIN hops h ON h.src = p.node AND h.us > p.at_us AND h.bef <= p.at_us AND h.us <= p.start_us + {72 * H}
-  WHERE NOT p.closed AND (h.dst = p.start OR (len(p.nodes) < 5 AND NOT list_contains(p.nodes, h.dst))))""",
-    f"""circular AS (SELECT * FROM (SELECT list_sort(nodes) AS members, nodes, tx_ids, len(nodes) AS length, {rnd("back_c / out_c", 2)} AS retention, {rnd(f"(at_us - start_us) / {H}e0", 1)} AS hours,
-  {rnd(f"least(1e0, 0.5e0 * (back_c / out_c) + 0.5e0 * (1e0 - least(1e0, ((at_us - start_us) / {H}e0) / 72e0)))", 2)} AS score, start_us, at_us AS end_us, start_pos
-  FROM chain WHERE closed AND len(nodes) >= 3 AND back_c * 10 >= out_c * 7 AND back_c * 4 <= out_c * 5)
-  WHERE NOT list_has_all((SELECT coalesce(list(account_id), []) FROM acc WHERE {LEGIT}), members)
-  QUALIFY row_number() OVER (PARTITION BY members ORDER BY score DESC, start_us, start_pos, nodes) = 1)""",
+    *cycles("chain", "circular", 5, 72),
+    *cycles("chain_relaxed", "circular_relaxed", 3, 720),
     "findings AS (SELECT 'circular' AS detector, 'subgraph' AS kind, members AS ids, score, CAST(NULL AS VARCHAR[]) AS cps FROM circular"
     + "".join(f" UNION ALL SELECT '{d}', 'account', [account_id], score, {'counterparties' if d.startswith('fan') else 'NULL'} FROM {d}" for d in ("structuring", "passthrough", "fiat_to_crypto", "round_amounts", "dormant_reactivation", "activity_spike", "device_linkage", "fan_in", "fan_out"))
     + ")",
@@ -230,6 +243,13 @@ def joined(*columns: str) -> str:
     return ", ".join(f"array_to_string({c}, ',') AS {c}" for c in columns)
 
 
+def ego(edges: int, nodes: int) -> str:
+    """Two steps around the focus: the largest transfers, among the riskiest nodes and the focus."""
+    near = f"(SELECT * FROM edges WHERE src = 'A7' OR dst = 'A7' OR src IN (FROM near1) OR dst IN (FROM near1) ORDER BY amount_c DESC, edges.tx_pos LIMIT {edges})"
+    ranked = f"(SELECT n, row_number() OVER (ORDER BY coalesce(risk, 0e0) DESC, n) AS place FROM (SELECT src AS n FROM {near} UNION SELECT dst FROM {near}) LEFT JOIN risk ON n = account_id)"
+    return f"SELECT e.* EXCLUDE (tx_pos) FROM {near} e, (SELECT list(n) AS keep FROM {ranked} WHERE place <= {nodes} OR n = 'A7') WHERE list_contains(keep, src) AND list_contains(keep, dst)"
+
+
 CATEGORY = case("detector", {n: f"'{c}'" for c, names in CATEGORIES.items() for n in names.split()}, "'other'")
 MULES = "SELECT account_id FROM acc WHERE k % 7 = 0"
 TRUE = "(SELECT 'T' || (k // 14) AS ring_id, list(DISTINCT account_id) AS ids FROM acc WHERE k % 7 = 0 GROUP BY k // 14)"
@@ -237,9 +257,11 @@ TRUE = "(SELECT 'T' || (k // 14) AS ring_id, list(DISTINCT account_id) AS ids FR
 FINALS = {
     "structuring": "SELECT * FROM structuring",
     "circular": f"SELECT {joined('members', 'nodes', 'tx_ids')}, length, retention, hours, score, start_us, end_us FROM circular",
+    "circular_relaxed": f"SELECT {joined('members', 'nodes', 'tx_ids')}, length, retention, hours, score, start_us, end_us FROM circular_relaxed",
     "passthrough": "SELECT * FROM passthrough",
     "fiat_to_crypto": "SELECT * FROM fiat_to_crypto",
     "round_amounts": f"SELECT * EXCLUDE (tx_ids), {joined('tx_ids')} FROM round_amounts",
+    "round_amounts_relaxed": f"SELECT * EXCLUDE (tx_ids), {joined('tx_ids')} FROM round_relaxed",
     "dormant_reactivation": "SELECT * FROM dormant_reactivation",
     "activity_spike": "SELECT * FROM activity_spike",
     "activity_spike_relaxed": "SELECT * FROM spike_relaxed",
@@ -263,11 +285,8 @@ FINALS = {
     "accounts_list": f"""SELECT account_id, owner_name, account_type, country, kyc_risk, status, {rnd("risk", 3)} AS risk, coalesce((SELECT string_agg(ring_id, ',' ORDER BY ring_id) FROM member m WHERE m.account_id = scored.account_id), '') AS rings,
   coalesce(n, 0) AS n_findings FROM scored LEFT JOIN (SELECT account_id, count(*) AS n FROM hits GROUP BY account_id) USING (account_id)""",
     "ego_graph_1": "SELECT * EXCLUDE (tx_pos) FROM edges WHERE src = 'A7' OR dst = 'A7'",
-    "ego_graph_2": "SELECT * EXCLUDE (tx_pos) FROM edges WHERE src = 'A7' OR dst = 'A7' OR src IN (FROM near1) OR dst IN (FROM near1) ORDER BY amount_c DESC, edges.tx_pos LIMIT 1500",
-    "ego_graph_2_capped": """SELECT e.* EXCLUDE (tx_pos) FROM (SELECT * FROM edges WHERE src = 'A7' OR dst = 'A7' OR src IN (FROM near1) OR dst IN (FROM near1) ORDER BY amount_c DESC, edges.tx_pos LIMIT 60) e,
-  (SELECT list(n) AS keep FROM (SELECT n FROM (SELECT DISTINCT n FROM (SELECT src AS n FROM (SELECT src, dst FROM edges WHERE src = 'A7' OR dst = 'A7' OR src IN (FROM near1) OR dst IN (FROM near1) ORDER BY amount_c DESC, edges.tx_pos LIMIT 60)
-   UNION ALL SELECT dst FROM (SELECT src, dst FROM edges WHERE src = 'A7' OR dst = 'A7' OR src IN (FROM near1) OR dst IN (FROM near1) ORDER BY amount_c DESC, edges.tx_pos LIMIT 60))) LEFT JOIN risk ON n = account_id
-   ORDER BY CASE WHEN n = 'A7' THEN 0 ELSE 1 END, coalesce(risk, 0e0) DESC, n LIMIT 21)) WHERE list_contains(keep, src) AND list_contains(keep, dst)""",
+    "ego_graph_2": ego(1500, 400),
+    "ego_graph_2_capped": ego(60, 20),
     "ego_nodes": "SELECT account_id, risk, account_type, ring, owner_name, country, kyc_risk FROM scored LEFT JOIN ring_one USING (account_id) WHERE account_id = 'A7' OR account_id IN (FROM near1)",
     "suspicious_edges": "SELECT * EXCLUDE (tx_pos) FROM edges WHERE (src = 'A7' OR dst = 'A7') AND (suspicious OR ring IS NOT NULL)",
     "enriched_edges": "SELECT * EXCLUDE (tx_pos) FROM edges",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions import HOUR
 from riskloom.operators import cycles, linkage, paths, ranges, windows
 from riskloom.plans import findings, rings, score, views
 from riskloom.plans.analysis import Analysis, analyse
@@ -90,9 +91,11 @@ CUT = ["tx_id", "src", "dst", "amount_c"]
 QUERIES: dict[str, Query] = {
     "structuring": on_ledger(lambda g: windows.structuring(g.tx)),
     "circular": on_ledger(lambda g: cycles.circular(g.tx, g.accounts)),
+    "circular_relaxed": on_ledger(lambda g: cycles.circular(g.tx, g.accounts, longest=3, span=720 * HOUR)),
     "passthrough": on_ledger(lambda g: ranges.passthrough(g.tx)),
     "fiat_to_crypto": on_ledger(lambda g: ranges.fiat_to_crypto(g.tx)),
     "round_amounts": on_ledger(lambda g: windows.round_amounts(g.tx)),
+    "round_amounts_relaxed": on_ledger(lambda g: windows.round_amounts(g.tx, step_c=1_000)),
     "dormant_reactivation": on_ledger(lambda g: ranges.dormant_reactivation(g.tx, g.accounts)),
     "activity_spike": on_ledger(lambda g: windows.activity_spike(g.tx)),
     "activity_spike_relaxed": on_ledger(lambda g: windows.activity_spike(g.tx, 3, 12, 0)),
