@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Communities depend on an order of visits, so queries with a SQL form leave them out.
 SQL_DETECTORS = [d for d in findings.DETECTORS if d != "community"]
 FOCUS, TARGET = "A7", "A900"
-_known: dict[tuple[int, str], Analysis] = {}
+_known: dict[tuple[str, str], Analysis] = {}
 
 
 def forget() -> None:
@@ -29,7 +29,7 @@ def forget() -> None:
 
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     """The analysis of a ledger, made once in a session: views read what is stored, as a service would."""
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _known:
         _known[key] = analyse(from_tables(spark, sf_dir), SQL_DETECTORS)
     return _known[key]
