@@ -153,7 +153,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id") ->
     )
     runs = scratch.put(runs.groupBy("doc_id", "hash").agg(F.collect_list("runs").alias("groups")), "runs")
     scratch.free(seeds, marks, pairs)
-    on = given["doc_id"].eqNullSafe(runs["doc_id"]) & (given["hash"] == runs["hash"])
-    joined = given.hint("merge").join(runs, on, "left")  # by key at every size.select("row", "text", "groups")
+    gone = runs.select(F.col("doc_id").alias("_doc_id"), F.col("hash").alias("_hash"), "groups")
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("hash") == F.col("_hash"))
+    joined = given.join(gone.hint("merge"), on, "left").select("row", "text", "groups")  # by key at every size
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(delete_lines, f"row {kind}, text string, n_deleted long").withColumnRenamed("row", id_col)
