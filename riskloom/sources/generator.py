@@ -31,8 +31,8 @@ def generate(spark: SparkSession, n_accounts: int = 800, n_legit_tx: int = 4000,
     """Legitimate payments, rings of five kinds in turn, one ring of several, and decoys.
 
     Account numbers: rings first, then the large ring, then decoys (a payroll and a
-    settlement loop of established businesses, an old account that wakes up, a
-    burst), then everybody else.
+    settlement loop of established businesses, an old account that wakes up and is
+    labelled, a burst), then everybody else.
     """
     first_decoy = n_rings * SIZE + KINGPIN
     first_legit = first_decoy + DECOYS
@@ -98,7 +98,7 @@ def generate(spark: SparkSession, n_accounts: int = 800, n_legit_tx: int = 4000,
     planted += [(d + 1 + i, d + 1 + (i + 1) % 4, 12_000.0, 300 + 6 * i, "wire") for i in range(4)]  # settlement loop
     planted += [(first_legit, d + 9, 24_000.0, 400, "wire"), (d + 9, first_legit + 1, 22_000.0, 406, "wire")]  # wakes up
     planted += [(first_legit + 2 + i, d + 10, 4_000.0, 500 + i, "card") for i in range(6)]  # burst
-    extra = spark.createDataFrame(planted, "s long, d long, amount double, h double, channel string")
+    extra = spark.createDataFrame([(a, b, float(v), float(h), c) for a, b, v, h, c in planted], "s long, d long, amount double, h double, channel string")
     extra = extra.select("s", "d", "amount", (F.lit(START) + F.col("h") * HOUR).cast("long").alias("us"), "channel")
 
     every = legit.unionByName(rings).unionByName(extra).withColumn("amount_c", F.floor(F.col("amount") * 100).cast("long"))
@@ -114,6 +114,8 @@ def generate(spark: SparkSession, n_accounts: int = 800, n_legit_tx: int = 4000,
     size = F.when(F.col("id") % 5 == 1, 4).otherwise(SIZE)
     labels = labels.select("ring_id", members(F.col("id") * SIZE, size).alias("account_ids"), patterns.alias("patterns"))
     top = spark.range(1).select(F.lit("RING_KING").alias("ring_id"), members(F.lit(king).cast("long"), F.lit(KINGPIN)).alias("account_ids"), F.array(*map(F.lit, ("structuring", "layering", "mule_fanout"))).alias("patterns"))
-    labels = labels.unionByName(top)
+    relay = F.array(*(_name(F.lit(n)) for n in (first_legit, d + 9, first_legit + 1)))
+    woken = spark.range(1).select(F.lit("RING_WOKEN").alias("ring_id"), relay.alias("account_ids"), F.array(F.lit("layering")).alias("patterns"))
+    labels = labels.unionByName(top).unionByName(woken)
     mules = labels.select(F.explode("account_ids").alias("account_id")).distinct()
     return Labelled(of(accounts, tx), mules, labels)

@@ -22,7 +22,7 @@ def test_guardrails(made):
     labelled, a = made
     row = evaluate(a.account_risk, a.rings, labelled.mules, labelled.rings).first()
     print(report(row))
-    assert row["precision"] >= 0.95 and row["recall"] >= 0.3 and row["ring_recall"] >= 0.9 and row["false_positive_rings"] == 0
+    assert row["precision"] >= 0.85 and row["recall"] >= 0.5 and row["ring_recall"] >= 0.9 and row["false_positive_rings"] <= 1
 
 
 def test_the_large_ring_has_most_patterns(made):
