@@ -41,9 +41,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class."""
-    classes = minhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(classes, docs["doc_id"].eqNullSafe(classes["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """The first document of each class, by id and then by text, and all rows without a text."""
+    return minhash.first_documents(docs).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,6 +256,32 @@ def across(threshold: float):
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id and class_id, the least doc_id of the class, for every row."""
     scratch = Scratch(docs.sparkSession, "minhash")
+    signed, classes = _classes(docs, threshold, scratch)
+    least = classes.groupBy("root").agg(F.min(F.struct("doc_id")).alias("l"))  # in a struct, null is the least
+    named = scratch.put(classes.join(least, "root").select("content", F.col("l.doc_id").alias("class_id")), "named")
+    out = signed.select("doc_id", "content").join(named, "content").select("doc_id", "class_id")
+    alone = F.col("doc_id").cast("long")
+    return out.union(docs.filter("text is null").select(alone.alias("doc_id"), alone.alias("class_id")))
+
+
+def first_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row of each class, all columns as given: the least by doc_id, then by the text's hash.
+
+    A document is an id and a text, so different texts under one id, or under none, are told apart.
+    Rows without a text are no one's duplicates and are all kept.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    _, classes = _classes(docs, threshold, scratch)
+    firsts = classes.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("f"))
+    firsts = scratch.put(firsts.select(F.col("f.doc_id").alias("_kept"), F.col("f.hash").alias("_kept_hash")), "firsts")
+    texts = docs.filter("text is not null")
+    on = texts["doc_id"].cast("long").eqNullSafe(firsts["_kept"]) & (F.xxhash64(texts["text"]) == firsts["_kept_hash"])
+    kept = texts.join(firsts, on, "left_semi").dropDuplicates(["doc_id", "text"])  # a document given twice
+    return kept.union(docs.filter("text is null"))
+
+
+def _classes(docs: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id, hash and content of every text; content, its first doc_id and hash, and root, the key of its class."""
     given = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
     texts = given.filter("text is not null")
     signed = scratch.put(texts.mapInArrow(sign, "doc_id long, hash long, content binary, bands array<long>"), "signed")
@@ -302,12 +328,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     roots = scratch.put(components(links.union(more), scratch), "roots").withColumnRenamed("node", "key")
     scratch.free(own, shared, member)
 
-    classes = first.select("key", "content", "doc_id").join(roots, "key", "left")
-    classes = classes.select("content", "doc_id", F.coalesce("root", "key").alias("root"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = scratch.put(classes.join(least, "root").select("content", "class_id"), "named")
-    out = signed.select("doc_id", "content").join(named, "content").select("doc_id", "class_id")
-    return out.union(given.filter("text is null").select("doc_id", F.col("doc_id").alias("class_id")))
+    classes = first.select("key", "content", "doc_id", "hash").join(roots, "key", "left")
+    return signed, classes.select("content", "doc_id", "hash", F.coalesce("root", "key").alias("root"))
 
 
 def _small_pairs(member: DataFrame) -> DataFrame:

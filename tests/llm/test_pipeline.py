@@ -3,8 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline as pipeline
+from riskloom.llm import minhash
 from riskloom.llm.base import table
-from tests.llm.test_operators import classes_by_force, lines_by_force, pieces_hold
+from tests.llm.test_operators import SCHEMA, classes_by_force, lines_by_force, pieces_hold, rows  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,30 @@ def test_stages(spark, tmp_path):
 def test_run_equals_its_stages(spark):
     assert pipeline.run(spark, SF).count() > 0
     assert pipeline.run(spark, SF).columns[0] == "doc_id"
+
+
+def test_near_duplicate_stage_on_odd_ids(spark, rows):
+    """Missing and repeated ids: of each class one document stays, and no text without a copy goes."""
+    far = ["no id and words of its own", "one id for three", "different texts, the second", "and the third of them"]
+    odd = [x for x in rows if len(x[1] or "") < 100_000]
+    odd += [(None, far[0], "en", "s1"), (7, far[1], "en", "s1"), (7, far[2], "en", "s1"), (7, far[3], "en", "s1"), (None, odd[0][1], "en", "s1"), (300, far[0], "en", "s1")]
+    docs = spark.createDataFrame([(*x, len(x[1] or ""), "r", "h", "w", "l") for x in odd], SCHEMA).repartition(3)
+    got = pipeline.near_duplicate_stage(spark, docs, "").collect()
+    shingles = minhash.Shingles()
+    bags = [shingles.of(t) for _, t, *_ in odd if t is not None]
+    texts = [(d, t) for d, t, *_ in odd if t is not None]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and minhash.similarity(bags[a], bags[b]) >= 0.8:
+                root = [root[b] if r == root[a] else r for r in root]
+    first = {}
+    for r, (d, t) in zip(root, texts, strict=True):
+        first.setdefault(r, []).append((d is not None, d or 0))
+    kept = Counter(root[texts.index((r["doc_id"], r["text"]))] for r in got if r["text"] is not None)
+    assert kept == Counter(set(root))
+    assert all((r["doc_id"] is not None, r["doc_id"] or 0) == min(first[root[texts.index((r["doc_id"], r["text"]))]]) for r in got if r["text"] is not None)
+    assert Counter(r["doc_id"] for r in got if r["text"] is None) == Counter(d for d, t, *_ in odd if t is None)
+    assert {*far, "other text of five"} <= {r["text"] for r in got}
+    classes = Counter(map(tuple, minhash.near_duplicates(docs).collect()))
+    assert classes == classes_by_force(odd)
