@@ -14,9 +14,11 @@ Counts are of documents, so long ones weigh no more than short ones.
 
 The models are a classifier, fitted on a bounded sample: ``max_docs`` labelled
 training rows of each class, those first by a hash of the id, and as many to
-calibrate; at most ``max_grams`` character strings, the most frequent, are kept,
-which bounds what is collected and broadcast. Words are lower case without
-punctuation.
+calibrate. All character strings of those rows are kept, the rare ones too: they
+are what types and shared backoff are counted from. The model is sorted arrays of
+64-bit keys and ratios, 16 bytes for each string and each context, so what is
+collected and broadcast is bounded by the sample's text. Words are lower case
+without punctuation.
 
 Results for odd input: a null or empty text, like one without words, has no
 evidence and gets the score for none; without labels of both classes every text
@@ -28,7 +30,7 @@ result; an empty table gives an empty result. Columns besides ``doc_id`` and
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.base import fold, slices
+from riskloom.llm.minhash import mix
 from riskloom.scratch import Scratch
 
 MEMO, MEMO_LEN = 300_000, 64
@@ -55,78 +58,113 @@ def grams(word: str) -> list[str]:
     return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
 
 
-def shared_backoff(kinds: set[str]) -> dict[str, float]:
-    """Kneser-Ney probability of the last character of each string in ``kinds`` after the rest of it.
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def keys(chars: np.ndarray) -> np.ndarray:
+    """64-bit key of each row of code points."""
+    key = np.full(len(chars), chars.shape[1], np.uint64)
+    for i in range(chars.shape[1]):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + chars[:, i])
+    return key
+
+
+def alike(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the different rows, the place of one row of each, and each row's number among them."""
+    return np.unique(keys(chars), return_index=True, return_inverse=True)
+
+
+def shared_backoff(chars: np.ndarray) -> np.ndarray:
+    """Kneser-Ney probability of the last character of each row, all different, after the rest of it.
 
     Recursive over orders: counts are of distinct characters in front, at order
-    one over the characters that are there.
+    one over the characters that are there; the longest order has none.
     """
-    levels = [kinds]
-    while len(next(iter(levels[-1]))) > 1:
-        levels.append({g[1:] for g in levels[-1]})
-    p = {"": 1.0 / len(levels[-1])}
-    for i in range(len(levels) - 1, -1, -1):
-        # an order's counts are of the strings that are one longer; the longest has none
-        count = Counter(g[1:] for g in levels[i - 1]) if i else Counter(levels[0])
-        total, types = Counter(), Counter(g[:-1] for g in count)
-        for g, n in count.items():
-            total[g[:-1]] += n
-        p = {g: max(n - DISCOUNT, 0) / total[g[:-1]] + DISCOUNT * types[g[:-1]] / total[g[:-1]] * p[g[1:]] for g, n in count.items()}
+    count, levels = np.ones(len(chars)), []
+    while chars.shape[1]:
+        context = alike(chars[:, :-1])[2]
+        total, types = np.bincount(context, count), np.bincount(context)
+        _, at, lower = alike(chars[:, 1:])
+        levels.append((count, total[context], types[context], lower))
+        chars, count = chars[at, 1:], np.bincount(lower).astype(float)
+    p = np.array([1.0 / max(len(levels[-1][0]), 1)])
+    for count, total, types, lower in reversed(levels):
+        p = np.maximum(count - DISCOUNT, 0) / total + DISCOUNT * types / total * p[lower]
     return p
 
 
 class Model:
     """Log-likelihood ratios, toxic against ordinary, of character strings and of contexts."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]]):
+    def __init__(self, strings: pa.Array, n0: np.ndarray, n1: np.ndarray):
+        """strings, all different and of ORDER characters, with their counts in both classes."""
         self.scale = np.zeros(4)
-        backoff = shared_backoff({g[1:] for g in counts})
-        total, types = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-        for g, n in counts.items():
-            for c in (0, 1):
-                total[g[:-1]][c] += n[c]
-                types[g[:-1]][c] += n[c] > 0
-        free = {h: [DISCOUNT * types[h][c] / t[c] if t[c] else 1.0 for c in (0, 1)] for h, t in total.items()}
-        ratio = {}
-        for g, n in counts.items():
-            h = g[:-1]
-            p = [max(n[c] - DISCOUNT, 0) / max(total[h][c], 1) + free[h][c] * backoff[g[1:]] for c in (0, 1)]
-            ratio[g] = np.log(p[1] / p[0])
-        self.strings = ratio
-        self.contexts = {h: np.log(f[1] / f[0]) for h, f in free.items()}
+        chars = np.concatenate([points("".join(strings[i : i + 100_000].to_pylist())) for i in range(0, len(strings), 100_000)]).reshape(-1, ORDER)
+        _, at, lower = alike(chars[:, 1:])
+        backoff = shared_backoff(chars[at, 1:])[lower]
+        context_keys, _, context = alike(chars[:, :-1])
+        p, free = [], []
+        for n in (n0, n1):
+            total, types = np.bincount(context, n), np.bincount(context, n > 0)
+            f = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
+            p.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[context] + f[context] * backoff)
+            free.append(f)
+        own = keys(chars)
+        order = np.argsort(own)
+        self.strings = own[order], np.log(p[1] / p[0])[order]
+        self.contexts = context_keys, np.log(free[1] / free[0])
         self._memo: dict[str, float] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_memo": {}}
 
-    def word(self, raw: str) -> float:
-        """The word's ratio; nan for punctuation alone."""
-        if not (w := normal(raw)):
-            return np.nan
-        out = 0.0
-        for g in grams(w):
-            r = self.strings.get(g)
-            out += self.contexts.get(g[:-1], 0.0) if r is None else r
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the keys, 0 for those that aren't there, and which are."""
+        at = np.minimum(np.searchsorted(table[0], key), len(table[0]) - 1)
+        there = table[0][at] == key
+        return np.where(there, table[1][at], 0.0), there
+
+    def words(self, raw: list[str]) -> np.ndarray:
+        """Each word's ratio; nan for punctuation alone."""
+        out, plain = np.full(len(raw), np.nan), [normal(w) for w in raw]
+        some = [i for i, w in enumerate(plain) if w]
+        if not some:
+            return out
+        chars = points("".join(START + plain[i] + STOP for i in some))
+        length = np.array([len(plain[i]) + 1 for i in some])  # strings of each word
+        first = np.cumsum(length) - length
+        at = np.arange(length.sum()) + np.repeat(np.arange(len(some)) * (ORDER - 1), length)
+        chars = np.lib.stride_tricks.sliding_window_view(chars, ORDER)[at]
+        ratio, there = self._find(self.strings, keys(chars))
+        ratio[~there] = self._find(self.contexts, keys(chars[~there, :-1]))[0]
+        out[some] = np.add.reduceat(ratio, first)
         return out
 
-    def evidence(self, text: str) -> tuple[float, float]:
-        """What exceeds the median word by the margin, per word, and the highest fiftieth's mean excess."""
-        words = text.split()
+    def evidence(self, texts: list[str]) -> list[tuple[float, float]]:
+        """For each text what exceeds the median word by the margin, per word, and the highest fiftieth's mean excess."""
+        split = [t.split() for t in texts]
         memo = self._memo
         if len(memo) > MEMO:
             memo.clear()
-        new = set(words).difference(memo)
-        for w in new:
-            memo[w] = self.word(w)
-        x = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
+        new = list(set().union(*split).difference(memo))
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            memo.update(zip(part, self.words(part).tolist(), strict=True))
+        out = []
+        for words in split:
+            x = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
+            x = x[~np.isnan(x)]
+            if not len(x):
+                out.append((0.0, 0.0))
+                continue
+            x -= np.median(x)
+            out.append((float(np.maximum(x - MARGIN, 0).mean()), float(np.sort(x)[-max(1, len(x) // 50) :].mean())))
         for w in new:
             if len(w) > MEMO_LEN:
                 del memo[w]
-        x = x[~np.isnan(x)]
-        if not len(x):
-            return 0.0, 0.0
-        x -= np.median(x)
-        return float(np.maximum(x - MARGIN, 0).mean()), float(np.sort(x)[-max(1, len(x) // 50) :].mean())
+        return out
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 50) -> None:
         """Logistic regression by Newton's method on standardized evidence."""
@@ -158,7 +196,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([f[g] for g in keys], pa.int64()) for f in found)], ["gram", "n0", "n1"])
 
 
-def train(docs: DataFrame, labels: DataFrame, held_fold: int = 2, max_docs: int = 10_000, max_grams: int = 300_000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, held_fold: int = 2, max_docs: int = 10_000) -> Model | None:
     """A model of labelled rows outside of the held-out fold; None without both classes."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     at = fold(F.col("doc_id"))
@@ -172,10 +210,11 @@ def train(docs: DataFrame, labels: DataFrame, held_fold: int = 2, max_docs: int
     rows = scratch.put(rows, "rows")
     fit = rows.filter("not calibrates").select("text", "toxic")
     counted = fit.mapInArrow(count_grams, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    top = counted.orderBy((F.col("n0") + F.col("n1")).desc(), "gram").limit(max_grams).toPandas()
-    if not (top["n0"].sum() and top["n1"].sum()):
+    counts = counted.toArrow()
+    n0, n1 = (counts[c].to_numpy() for c in ("n0", "n1"))
+    if not (n0.sum() and n1.sum()):
         return None
-    model = Model(dict(zip(top["gram"], zip(top["n0"].tolist(), top["n1"].tolist(), strict=True), strict=True)))
+    model = Model(counts["gram"], n0, n1)
     seen = evidence(rows.filter("calibrates").select(F.col("toxic").cast("long").alias("doc_id"), "text"), model).toPandas()
     if seen["doc_id"].nunique() == 2:
         model.calibrate(seen[["per_word", "peak"]].to_numpy(), seen["doc_id"].to_numpy())
@@ -184,12 +223,12 @@ def train(docs: DataFrame, labels: DataFrame, held_fold: int = 2, max_docs: int
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, per_word, peak, score for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_grams strings at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # arrays bounded by the sample of max_docs rows of each class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in slices(batches, "text"):
-            x = [model.evidence(t or "") for t in b.column("text").to_pylist()]
+            x = model.evidence([t or "" for t in b.column("text").to_pylist()])
             cols = [pa.array([v[0] for v in x]), pa.array([v[1] for v in x]), pa.array(model.score(np.array(x)))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "per_word", "peak", "score"])
 

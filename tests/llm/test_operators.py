@@ -334,3 +334,52 @@ def test_toxicity(spark, docs, empty):
     assert len(out) == docs.count() and all(0 <= x["score"] <= 1 for x in out)
     assert toxicity.score_toxicity(empty, l).count() == 0
     assert {x["score"] for x in toxicity.score_toxicity(d, l.limit(0)).collect()} == {0.0}
+
+
+def ratios_by_force(counts):
+    """The model's log ratios of strings, by dictionaries."""
+    levels, d = [{g[1:] for g in counts}], toxicity.DISCOUNT
+    while len(next(iter(levels[-1]))) > 1:
+        levels.append({g[1:] for g in levels[-1]})
+    p = {"": 1.0 / len(levels[-1])}
+    for i in range(len(levels) - 1, -1, -1):
+        count = Counter(g[1:] for g in levels[i - 1]) if i else Counter(levels[0])
+        total, types = Counter(), Counter(g[:-1] for g in count)
+        for g, n in count.items():
+            total[g[:-1]] += n
+        p = {g: max(n - d, 0) / total[g[:-1]] + d * types[g[:-1]] / total[g[:-1]] * p[g[1:]] for g, n in count.items()}
+    total, types = (Counter(), Counter()), (Counter(), Counter())
+    for g, n in counts.items():
+        for c in (0, 1):
+            total[c][g[:-1]] += n[c]
+            types[c][g[:-1]] += n[c] > 0
+    free = {h: [d * types[c][h] / total[c][h] if total[c][h] else 1.0 for c in (0, 1)] for h in {g[:-1] for g in counts}}
+    out = {}
+    for g, n in counts.items():
+        q = [max(n[c] - d, 0) / max(total[c][g[:-1]], 1) + free[g[:-1]][c] * p[g[1:]] for c in (0, 1)]
+        out[g] = np.log(q[1] / q[0])
+    return out, {h: np.log(f[1] / f[0]) for h, f in free.items()}
+
+
+def test_toxicity_keeps_rare_strings(spark):
+    """Over 300,000 common strings beside the toxic class's rare ones: none is cut."""
+    r = random.Random(8)
+    pool = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(6)) for _ in range(60_000)]
+    data = [(2 * i + k, " ".join(pool[i % 1500 :: 1500])) for i in range(1500) for k in (0, 1)]
+    data += [(10_000 + i, " ".join([*pool[i % 1500 :: 1500], f"vile{i}", f"scum{i}x"])) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i >= 10_000)) for i, _ in data], "doc_id long, toxic int")
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    model = toxicity.train(docs, labels)
+    counts = {}
+    for i, t in data:
+        if zlib.crc32(str(i).encode()) % 4 in (0, 1):  # fold 2 is held out, 3 calibrates
+            for w in set(map(toxicity.normal, t.split())):
+                for g in toxicity.grams(w):
+                    counts.setdefault(g, [0, 0])[i >= 10_000] += 1
+    assert len(counts) > 300_000 and len(model.strings[0]) == len(counts)
+    strings, contexts = ratios_by_force(counts)
+    some = ["vile7", "scum9x", "viles", pool[3], pool[5][:3] + "q", "zzz", "!?", "x" * 500]
+    want = [sum(strings.get(g, contexts.get(g[:-1], 0.0)) for g in toxicity.grams(toxicity.normal(w))) if toxicity.normal(w) else np.nan for w in some]
+    assert np.allclose(model.words(some), want, equal_nan=True, rtol=1e-9)
+    held = [x for x in toxicity.score_toxicity(docs, labels).collect() if x["held_out"]]
+    assert all((x["doc_id"] >= 10_000) == bool(x["predicted"]) for x in held)
