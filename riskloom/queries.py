@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Communities depend on an order of visits, so queries with a SQL form leave them out.
 SQL_DETECTORS = [d for d in findings.DETECTORS if d != "community"]
 FOCUS, TARGET = "A7", "A900"
-_known: dict[tuple[str, str], Analysis] = {}
+_known: dict[tuple[str, str, bool], Analysis] = {}
 
 
 def forget() -> None:
@@ -27,11 +27,14 @@ def forget() -> None:
     _known.clear()
 
 
-def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    """The analysis of a ledger, made once in a session: views read what is stored, as a service would."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def analysis(spark: SparkSession, sf_dir: str, full: bool = False) -> Analysis:
+    """The analysis of a ledger, made once in a session: views read what is stored, as a service would.
+
+    By SQL_DETECTORS, or, if full, by all detectors.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, full)
     if key not in _known:
-        _known[key] = analyse(from_tables(spark, sf_dir), SQL_DETECTORS)
+        _known[key] = analyse(from_tables(spark, sf_dir), None if full else SQL_DETECTORS)
     return _known[key]
 
 
@@ -44,8 +47,17 @@ def on_ledger(f: Callable[[Ledger], DataFrame]) -> Query:
     return lambda spark, sf_dir: flat(f(from_tables(spark, sf_dir)))
 
 
-def on_analysis(f: Callable[[Analysis], DataFrame]) -> Query:
-    return lambda spark, sf_dir: flat(f(analysis(spark, sf_dir)))
+class on_analysis:  # noqa: N801
+    """A query on the analysis by SQL_DETECTORS; ``full`` is the same by all detectors."""
+
+    def __init__(self, f: Callable[[Analysis], DataFrame]):
+        self.f = f
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return flat(self.f(analysis(spark, sf_dir)))
+
+    def full(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return flat(self.f(analysis(spark, sf_dir, full=True)))
 
 
 def shown_risk(a: Analysis) -> DataFrame:
@@ -147,6 +159,8 @@ QUERIES: dict[str, Query] = {
     "full_rings": lambda spark, sf_dir: flat(analyse(from_tables(spark, sf_dir)).rings.drop("narrative", "tx_ids")),
     "streaming_bursts": replay,
 }
+#: Every query on the analysis once more, by all detectors; full_rings is there already, with other columns.
+QUERIES |= {f"full_{name}": q.full for name, q in QUERIES.items() if isinstance(q, on_analysis) and f"full_{name}" not in QUERIES}
 
 
 def queries() -> dict[str, Query]:
