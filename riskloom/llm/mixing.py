@@ -6,6 +6,8 @@ than its supply times ``max_epochs``; what it leaves is shared among its sibling
 by weight, and only what all siblings together cannot take is left to the level
 above. A leaf spends its budget on whole passes (epochs) over its documents and
 a prefix, by tokens, of the next pass, in an order seeded by pass and document.
+Tokens are words between blanks unless ``tokens`` says otherwise, so scripts without
+blanks need a tokenizer's count there.
 
 The prefix is a threshold on that order's hash. It is found from token sums of
 4096 ranges of the hash and then in the one range where the budget ends, so a
