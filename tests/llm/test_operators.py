@@ -383,3 +383,39 @@ def test_toxicity_keeps_rare_strings(spark):
     assert np.allclose(model.words(some), want, equal_nan=True, rtol=1e-9)
     held = [x for x in toxicity.score_toxicity(docs, labels).collect() if x["held_out"]]
     assert all((x["doc_id"] >= 10_000) == bool(x["predicted"]) for x in held)
+
+
+def test_mixing_picks_the_seeded_prefix(docs, rows):
+    """Every leaf's documents and epochs by a plain sort of the seeded order."""
+    import struct
+
+    import xxhash
+
+    size = lambda t: len((t or "").split())
+    leaf = lambda x: ("", x[2] or "", x[3] or "")
+
+    def place(epoch, doc_id):
+        h = 42
+        for part in (struct.pack("<i", 17), struct.pack("<i", epoch), b"" if doc_id is None else str(doc_id).encode()):
+            h = xxhash.xxh64_intdigest(part, seed=h)
+        return h - (1 << 64) * (h >> 63)
+
+    supply = Counter()
+    for x in rows:
+        supply[leaf(x)] += size(x[1])
+    for share in (0.3, 0.7, 1.6):
+        given, want = mixing.budgets(supply, ({}, {"en": 2.0}, {"s0": 0.5}), share * sum(supply.values()), 2), Counter()
+        for k, amount in given.items():
+            mine = [x for x in rows if leaf(x) == k]
+            whole = min(2, int(amount // supply[k])) if supply[k] else 1
+            want.update((x[0], x[1], e) for x in mine for e in range(whole))
+            rest, by = int(amount - whole * supply[k]), {}
+            for x in mine:
+                by.setdefault(place(whole, x[0]), []).append(x)
+            for at in sorted(by) if rest > 0 and whole < 2 else ():
+                rest -= sum(size(x[1]) for x in by[at])
+                if rest < 0:
+                    break
+                want.update((x[0], x[1], whole) for x in by[at])
+        got = mixing.mix(docs, F.lit(""), ({}, {"en": 2.0}, {"s0": 0.5}), budget_share=share, max_epochs=2)
+        assert Counter((r["doc_id"], r["text"], r["_epoch"]) for r in got.select("doc_id", "text", "_epoch").collect()) == want
