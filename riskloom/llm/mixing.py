@@ -18,7 +18,8 @@ documents are then picked by a filter, so texts aren't shuffled.
 Results for odd input: a null domain, language or source is named ''; a null
 text has no tokens, and rows without tokens come with the prefix they fall in;
 rows of one id have one place in the order and come or go together; an empty
-table gives an empty result. Other columns pass through ``mix`` unread.
+table gives an empty result. Picked rows come whole in a struct beside the mix's
+own columns, so no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def mix(
     tokens: Column | None = None,
     max_leaves: int = 100_000,
 ) -> DataFrame:
-    """The picked rows with _domain, _tokens and _epoch; budget_share is of all tokens."""
+    """row (the picked row), domain, n_tokens and epoch; budget_share is of all tokens."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
     tokens = F.size(words(F.coalesce("text", F.lit("")))) if tokens is None else tokens
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -116,15 +117,16 @@ def mix(
     upto = Window.partitionBy("leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     inner = inner.filter("n is not null").withColumn("stop", F.col("before") + F.sum("n").over(upto)).filter("stop <= rest")
     last = inner.groupBy("leaf").agg(F.max("at").alias("last"))
-    # nothing of the edge's range fits: the prefix ends where the range starts; a leaf without an edge fits whole
-    upper = edge.join(last, "leaf", "left").select("leaf", F.coalesce("last", F.shiftleft(F.col("range"), 64 - RANGE_BITS) - 1).alias("last"))
+    # nothing of the edge's range fits: the prefix ends where the range starts, and is empty if that is the first
+    start = F.when(F.col("range") > -(1 << (RANGE_BITS - 1)), F.shiftleft(F.col("range"), 64 - RANGE_BITS) - 1)
+    upper = edge.join(last, "leaf", "left").select("leaf", F.coalesce("last", start).alias("last"), F.lit(True).alias("cut"))
     final = plan_df.join(F.broadcast(scratch.put(upper, "upper")), "leaf", "left")
-    bound = F.when(F.col("rest") > 0, F.coalesce("last", F.lit(2**63 - 1))).otherwise(F.lit(-(2**63)))
+    # a leaf without an edge fits whole
+    bound = F.when(F.col("rest") > 0, F.when(F.col("cut"), F.col("last")).otherwise(F.lit(2**63 - 1)))
     final = scratch.put(final.select("leaf", "passes", bound.alias("last")), "final")
 
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), path.alias("leaf"), tokens.cast("long").alias("_tokens"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), path.alias("leaf"), tokens.cast("long").alias("n_tokens"))
     rows = rows.join(F.broadcast(final), "leaf")
-    epochs = F.col("passes") + F.when((at <= F.col("last")) & (F.col("passes") < max_epochs), 1).otherwise(0)
-    rows = rows.withColumn("_n", epochs).filter("_n > 0")
-    rows = rows.select("_row.*", F.col("leaf.domain").alias("_domain"), "_tokens", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_epoch"))
-    return rows
+    picked = F.coalesce(at <= F.col("last"), F.lit(False)) & (F.col("passes") < max_epochs)  # no bound: no prefix
+    rows = rows.withColumn("epochs", F.col("passes") + picked.cast("int")).filter("epochs > 0")
+    return rows.select("row", F.col("leaf.domain").alias("domain"), "n_tokens", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))

@@ -204,6 +204,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width: int = 409
     placed = place({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, width)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    ranked = pieces.join(offsets, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("earlier"))
+    # there are as many offsets as tasks and lengths, so they meet the pieces by key at every size
+    ranked = pieces.join(offsets.hint("shuffle_hash"), ["part", "length"]).withColumn("rank", F.col("nth") + F.col("earlier"))
     out = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
     return out.mapInArrow(locate(placed), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

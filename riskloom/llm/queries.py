@@ -62,7 +62,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = mixing.mix(table(spark, sf_dir, "documents"), domain_of_source(), MIX_WEIGHTS)
-    return picked.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"))
+    return picked.select("row.doc_id", "domain", "row.lang", "row.source", "epoch", "n_tokens")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

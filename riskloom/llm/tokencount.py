@@ -2,7 +2,9 @@
 
 Content and tokenizer are each named by a SHA-256 digest. Counts known to the
 cache are joined; of the rest each distinct content is encoded once and appended
-to the cache (Parquet, one folder per tokenizer digest, one writer at a time).
+to the cache (Parquet, one folder per tokenizer digest). Writers that overlap, or
+one that is run again after a commit by halves, may store a digest twice; a
+digest's count is the same in all of its rows and is read once.
 
 Inside a task the encoder keeps the counts of short words: no piece of these
 vocabularies runs across the start of a word, so a text's count is the sum over
@@ -107,7 +109,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         misses = misses.join(spark.read.schema("digest binary, n_tokens long").parquet(folder), "digest", "left_anti")
     misses.mapInArrow(count_misses(tokenizer_path), "digest binary, n_tokens long").write.mode("append").parquet(folder)
-    known = spark.read.schema("digest binary, n_tokens long").parquet(folder)
+    known = spark.read.schema("digest binary, n_tokens long").parquet(folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     sized = docs.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return sized.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

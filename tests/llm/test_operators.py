@@ -193,7 +193,7 @@ def test_mixing(docs, empty, rows):
         given = mixing.budgets(supply, weights, share * total, 2)
         spent = Counter()
         for r in picked:
-            spent[(r["_domain"], r["lang"] or "", r["source"] or "")] += r["_tokens"]
+            spent[(r["domain"], r["row"]["lang"] or "", r["row"]["source"] or "")] += r["n_tokens"]
         largest = max(size(t) for _, t, *_ in rows)
         assert all(given[k] - largest <= spent[k] <= given[k] + 1e-6 for k in supply)
         assert sum(given.values()) == pytest.approx(min(share, 2.0) * total)
@@ -201,9 +201,9 @@ def test_mixing(docs, empty, rows):
         for leaf in supply:
             mine = [r for r in rows if (name(r[3]), r[2] or "", r[3] or "") == leaf]
             whole = min(2, int(given[leaf] // supply[leaf])) if supply[leaf] else 1
-            n = sum((r["_domain"], r["lang"] or "", r["source"] or "") == leaf for r in picked)
+            n = sum((r["domain"], r["row"]["lang"] or "", r["row"]["source"] or "") == leaf for r in picked)
             assert whole * len(mine) <= n <= (whole + 1) * len(mine)
-    assert set(picked[0].asDict()) >= {"row", "leaf", "words"}
+    assert picked[0]["row"].asDict().keys() == set(docs.columns)
     assert mixing.mix(empty, domain, weights).count() == 0
 
 
@@ -226,6 +226,10 @@ def test_token_counts(spark, docs, rows, empty, tmp_path):
         assert Counter(map(tuple, got.select("doc_id", "n_bytes", "n_tokens").collect())) == want
     stored = spark.read.parquet(f"{cache}/*")
     assert stored.count() == len({t or "" for _, t, *_ in rows})
+    twice = stored.select("digest", "n_tokens").collect()  # as two writers at once leave it
+    spark.createDataFrame(twice, "digest binary, n_tokens long").write.mode("append").parquet(f"{cache}/tokenizer={tokencount.tokenizer_digest(path)}")
+    got = tokencount.count_tokens(docs, path, cache)
+    assert Counter(map(tuple, got.select("doc_id", "n_bytes", "n_tokens").collect())) == want
     assert tokencount.count_tokens_once(empty, path).count() == 0
 
 
@@ -418,4 +422,17 @@ def test_mixing_picks_the_seeded_prefix(docs, rows):
                     break
                 want.update((x[0], x[1], whole) for x in by[at])
         got = mixing.mix(docs, F.lit(""), ({}, {"en": 2.0}, {"s0": 0.5}), budget_share=share, max_epochs=2)
-        assert Counter((r["doc_id"], r["text"], r["_epoch"]) for r in got.select("doc_id", "text", "_epoch").collect()) == want
+        assert Counter((r["doc_id"], r["text"], r["epoch"]) for r in got.select("row.doc_id", "row.text", "epoch").collect()) == want
+
+
+def test_mixing_with_an_empty_prefix(spark):
+    """A budget that ends in the first range, before its first document: nothing is picked, whatever the order."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b c d e f g h i j").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    for share, n in ((2e-5, 0), (5e-5, 1), (1e-4, 2)):
+        assert mixing.mix(docs, F.lit("d"), ({}, {}, {}), budget_share=share, max_epochs=1).count() == n
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", "x", "y", "z")], "doc_id long, text string, lang string, source string, domain string, n_tokens string, epoch string")
+    got = mixing.mix(docs, F.lit("d"), ({}, {}, {})).select("row.*").collect()
+    assert got == docs.collect()
