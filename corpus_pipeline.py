@@ -47,7 +47,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of what is left, by the weights of the registered query."""
-    return mixing.mix(docs, domain_of_source(), MIX_WEIGHTS, budget_share=MIX_SHARE, max_epochs=1).select(*docs.columns)
+    return mixing.mix(docs, domain_of_source(), MIX_WEIGHTS, budget_share=MIX_SHARE, max_epochs=1).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
