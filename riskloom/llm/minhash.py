@@ -16,9 +16,16 @@ text of each goes on. Every text of a bucket is compared with the bucket's
 centre, the one with the most company over all of its buckets, so a large family
 of copies costs one comparison each and not one for each pair. Links (checked on
 the texts: multiset overlap of ``threshold`` or more) are joined to components.
-Then buckets that still hold several components are compared across them: pairs in small buckets, blocks of
-bounded size in large ones, where the multisets themselves are compared and only
-links come out. So no link among texts that share a bucket is lost.
+Buckets that still hold several get another centre outside of the last one's
+component, and so on while that joins a fifth of what was open.
+
+In small buckets what is left is compared pair by pair. In large ones it would be
+most of a family of texts that share much but not enough, so they are compared
+through their rarest items: an item is a shingle and its occurrence, items are
+ordered by how many of these texts hold them, and two texts that overlap by the
+threshold hold a common item among the first |x| - ceil(threshold |x|) + 1 of each.
+Texts meet at such an item, pair by pair or in blocks of bounded size, where the
+multisets are compared exactly. So no link among texts that share a bucket is lost.
 
 Bands of five places, 28 of them: a pair of similarity 0.8 shares a bucket with
 probability 1 - 1.5e-5, one of 0.9 with 1 - 1e-11.
@@ -26,7 +33,8 @@ probability 1 - 1.5e-5, one of 0.9 with 1 - 1e-11.
 Results for odd input: texts without words are equal to each other; a null text
 is a class of its own, with its id; a null id counts as the least; rows that agree
 in id and text are one document given twice and share a class; an empty table
-gives an empty result. Columns besides ``doc_id`` and ``text`` are not read.
+gives an empty result; ids that aren't whole numbers end in a cast error. Columns
+besides ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -47,8 +55,8 @@ from riskloom.scratch import Scratch
 SHINGLE, BANDS, ROWS = 5, 28, 5
 PLACES = BANDS * ROWS
 MEMO = 300_000
-#: Texts of a block in the larger buckets; those with SMALL texts pair up directly.
-BLOCK, SMALL = 512, 16
+#: Texts and bytes of items of a block in the larger groups; those with SMALL texts pair up directly.
+BLOCK, BLOCK_BYTES, SMALL = 512, 32 << 20, 16
 _U = np.uint64
 
 
@@ -182,14 +190,14 @@ def check(threshold: float):
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The multiset of each text as a set of 32-bit items: one for each shingle and occurrence."""
+    """The multiset of each text as a set of 64-bit items: one for each shingle and occurrence."""
     shingles = Shingles()
     for b in slices(batches, "text"):
         items = []
         for h, c in map(shingles.of, b.column("text").to_pylist()):
             nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            items.append(np.unique(mix(np.repeat(h, c) + nth.astype(_U)) >> _U(32)).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(items, pa.binary())], ["key", "items"])
+            items.append(np.sort(mix(np.repeat(h, c) + nth.astype(_U))).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(items, pa.list_(pa.int64()))], ["key", "items"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -220,22 +228,16 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def across(threshold: float):
-    """Links between two blocks of a bucket: those that join components, as few as do.
-
-    The best links come first and join what the blocks hold; a link within what
-    is joined already says nothing new.
-    """
+    """Links between two blocks of a group: those that join components, as few as do."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pairs: list[tuple[int, int]] = []
         if len(left) and len(right):
-            x, y = ([np.frombuffer(v, np.uint32) for v in f["items"]] for f in (left, right))
-            both = overlaps(x, y)
+            x, y = (list(f["items"]) for f in (left, right))
+            both = overlaps(x, y).astype(np.float64)
             total = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])
-            near = both / np.maximum(total - both, 1)
             p, q = left["root"].to_numpy(), right["root"].to_numpy()
-            i, j = np.nonzero((near >= threshold - 1e-3) & (p[:, None] != q))
-            order = np.argsort(-near[i, j], kind="stable")
+            i, j = np.nonzero((both / np.maximum(total - both, 1) >= threshold) & (p[:, None] != q))
             joined: dict[int, int] = {}
 
             def root(r: int) -> int:
@@ -243,11 +245,11 @@ def across(threshold: float):
                     r = joined[r]
                 return r
 
-            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
                 u, v = root(p[a]), root(q[b])
                 if u != v:
                     joined[max(u, v)] = min(u, v)
-                    pairs.append(tuple(sorted((left["id"].iat[a], right["id"].iat[b]))))
+                    pairs.append(tuple(sorted((left["key"].iat[a], right["key"].iat[b]))))
         return pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, dtype="int64")
 
     return run
@@ -314,41 +316,71 @@ def _classes(docs: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataF
         return scratch.put(both.mapInArrow(check(threshold), "a long, b long"), name)
 
     links = checked(scratch.put(stars, "stars"), "links")
-
-    # buckets that still hold several components
-    roots = scratch.put(components(links, scratch), "star-roots").withColumnRenamed("node", "key")
-    member = shared.select("bucket", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    member = scratch.put(member, "member")
-    mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    member = scratch.put(member.join(scratch.put(mixed, "mixed"), "bucket"), "mixed-members")
-    big = member.filter(F.col("n") > SMALL)
-    items = own.join(big.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(listed, "key long, items binary")
-    rest = _small_pairs(member).union(_block_pairs(big, items, threshold, scratch)).distinct()
-    more = checked(scratch.put(rest, "rest"), "more-links")
-    roots = scratch.put(components(links.union(more), scratch), "roots").withColumnRenamed("node", "key")
+    done = centres.select("bucket", F.col("a").alias("key"))
+    member, before = scratch.put(shared.select("bucket", "key", "company"), "member"), None
+    while True:
+        roots = scratch.put(components(links, scratch), "roots").withColumnRenamed("node", "key")
+        member = scratch.put(_several(member.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))), "open")
+        n = member.count()
+        if not n or (before is not None and n > 0.8 * before):
+            break
+        # another centre, outside of the last one's component
+        before, last = n, member.join(done, ["bucket", "key"]).select("bucket", F.col("root").alias("last"))
+        outside = member.join(last, "bucket", "left").groupBy("bucket", "key", "company").agg(F.max(F.coalesce(F.col("root") == F.col("last"), F.lit(False))).alias("met"))
+        centres = outside.filter("not met").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("key")).alias("k"))).alias("c"))
+        centres = scratch.put(centres.select("bucket", (-F.col("c.k")).alias("a")).join(member.select("bucket", F.col("key").alias("a"), F.col("root").alias("own")), ["bucket", "a"]), "centres")
+        done = scratch.put(done.union(centres.select("bucket", "a")), "done")
+        stars = member.join(centres, "bucket").filter("root <> own").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+        links = scratch.put(links.union(checked(scratch.put(stars, "stars"), "more-links")), "all-links")
+
+    if n:
+        size = member.groupBy("bucket").agg(F.count("*").alias("n"))
+        member = scratch.put(member.join(size, "bucket"), "left-over")
+        small, large = _pairs(member.filter(F.col("n") <= SMALL)), member.filter(F.col("n") > SMALL).select("key", "root").distinct()
+        items = scratch.put(own.join(large, "key").select("key", "text").mapInArrow(listed, "key long, items array<long>"), "items")
+        groups = scratch.put(_rare_groups(items, large, threshold), "rare")
+        found = _block_links(groups.filter(F.col("n") > SMALL), items, threshold, scratch)
+        pairs = scratch.put(small.union(_pairs(groups.filter(F.col("n") <= SMALL))).distinct(), "pairs")
+        links = links.union(checked(pairs, "pair-links")).union(scratch.put(found.distinct(), "block-links"))
+        roots = scratch.put(components(links, scratch), "roots").withColumnRenamed("node", "key")
     scratch.free(own, shared, member)
 
     classes = first.select("key", "content", "doc_id", "hash").join(roots, "key", "left")
     return signed, classes.select("content", "doc_id", "hash", F.coalesce("root", "key").alias("root"))
 
 
-def _small_pairs(member: DataFrame) -> DataFrame:
-    """Pairs across components of buckets with SMALL texts at most."""
-    groups = member.filter(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "root"))).alias("g"))
+def _several(member: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+    return member.join(mixed, "bucket")
+
+
+def _pairs(member: DataFrame) -> DataFrame:
+    """Pairs across components of groups with SMALL texts at most."""
+    groups = member.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "root"))).alias("g"))
     pairs = groups.select("g", F.posexplode("g").alias("i", "x")).select("x", F.explode(F.expr("slice(g, 1, i)")).alias("y"))
     return pairs.filter("x.root <> y.root").select(F.col("y.key").alias("a"), F.col("x.key").alias("b"))
 
 
-def _block_pairs(big: DataFrame, items: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Links across components in the larger buckets.
-
-    The texts outside of a bucket's largest component meet all of its texts, block by block.
-    """
-    share = big.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-    main = share.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top")).select("bucket", F.col("top.root").alias("main"))
-    big = big.join(scratch.put(main, "main"), "bucket").join(scratch.put(items, "items"), "key")
-    big = scratch.put(big.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "blocks")
-    own, spread = F.pmod(F.hash("key"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = big.filter("root <> main").select("bucket", own.alias("i"), spread.alias("j"), F.col("key").alias("id"), "root", "items")
-    right = big.select("bucket", spread.alias("i"), own.alias("j"), F.col("key").alias("id"), "root", "items")
+def _rare_groups(items: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
+    """bucket, key, root, n, bytes: texts that hold a common item among their rarest, and the size of their group."""
+    flat = items.select("key", F.size("items").alias("size"), F.explode("items").alias("item"))
+    often = flat.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1")
+    # an item that no other text holds is rarer than all others, so it takes a place but meets no one
+    shared = flat.join(often, "item").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("s"))
+    places = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("s"))
+    rare = shared.withColumn("places", places.cast("int")).filter("places > 0")
+    rare = rare.select("key", (F.col("size") * 8).alias("own"), F.explode(F.slice("s", F.lit(1), F.col("places"))).alias("x")).join(member, "key")
+    rare = rare.select(F.col("x.item").alias("bucket"), "key", "root", "own")
+    about = rare.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("own").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return rare.drop("own").join(about.filter("lo <> hi").drop("lo", "hi"), "bucket")
+
+
+def _block_links(member: DataFrame, items: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links across components in the larger groups, block by block, by the multisets themselves."""
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    big = member.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).join(items, "key")
+    big = scratch.put(big, "blocks")
+    left = big.select("bucket", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), "key", "root", "items")
+    right = big.select("bucket", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "key", "root", "items")
     return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(across(threshold), "a long, b long")

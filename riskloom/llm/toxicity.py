@@ -5,26 +5,30 @@ smoothed alike: a character's frequency after the four before it is discounted,
 and what that frees goes to shorter contexts, whose counts (in how many longer
 contexts a character is met) both classes share. So an expression that one class
 lacks is as unlikely there as it is rare altogether, and inflected forms share
-what is known of their stem. A word's difference of log-likelihoods is taken
-against the document's median word, which takes out what is due to its language
-or style; what exceeds the median by more than ``MARGIN`` is summed and divided by
-the number of words. Two logistic weights, learned on a fold that the counts leave
-out, turn that and the mean of the highest fiftieth of the words into a score.
+what is known of their stem.
+
+A text's evidence is the difference of its log-likelihoods under both models,
+divided by its number of words (``llr``). That mean also holds what is due to the
+text's language or style, which the median word shows; so two more inputs are
+taken above the median word: the mean of what exceeds it by more than ``MARGIN``
+(``per_word``) and the mean of the highest fiftieth of the words (``peak``). Logistic
+weights, learned on a fold that the counts leave out, turn the three into a score.
 Counts are of documents, so long ones weigh no more than short ones.
 
 The models are a classifier, fitted on a bounded sample: ``max_docs`` labelled
-training rows of each class, those first by a hash of the id, and as many to
-calibrate. All character strings of those rows are kept, the rare ones too: they
-are what types and shared backoff are counted from. The model is sorted arrays of
-64-bit keys and ratios, 16 bytes for each string and each context, so what is
-collected and broadcast is bounded by the sample's text. Words are lower case
-without punctuation.
+ids of each class, those first by a hash of the id, and as many to calibrate, with
+one text each (of an id with several, the least by hash). All character strings of
+those texts are kept, the rare ones too: they are what types and shared backoff
+are counted from. The model is sorted arrays of 64-bit keys and ratios, 16 bytes
+for each string and each context, so what is collected and broadcast is bounded by
+the sample's text. Words are lower case without punctuation.
 
 Results for odd input: a null or empty text, like one without words, has no
 evidence and gets the score for none; without labels of both classes every text
 scores 0; an id labelled twice is trained on twice; repeated rows repeat their
-result; an empty table gives an empty result. Columns besides ``doc_id`` and
-``text`` (labels: ``doc_id``, ``toxic``) are not read.
+result; an empty table gives an empty result; ids that aren't whole numbers end in
+a cast error. Columns besides ``doc_id`` and ``text`` (labels: ``doc_id``,
+``toxic``) are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.base import fold, slices
@@ -44,6 +48,7 @@ from riskloom.scratch import Scratch
 
 MEMO, MEMO_LEN = 300_000, 64
 ORDER, DISCOUNT, MARGIN = 5, 0.75, 2.0
+EVIDENCE = ("llr", "per_word", "peak")
 _DROP = re.compile(r"[\W_]+")
 START, STOP = "\x02" * (ORDER - 1), "\x03"
 
@@ -99,7 +104,7 @@ class Model:
 
     def __init__(self, strings: pa.Array, n0: np.ndarray, n1: np.ndarray):
         """strings, all different and of ORDER characters, with their counts in both classes."""
-        self.scale = np.zeros(4)
+        self.scale: np.ndarray | None = None  # not calibrated
         chars = np.concatenate([points("".join(strings[i : i + 100_000].to_pylist())) for i in range(0, len(strings), 100_000)]).reshape(-1, ORDER)
         _, at, lower = alike(chars[:, 1:])
         backoff = shared_backoff(chars[at, 1:])[lower]
@@ -142,8 +147,8 @@ class Model:
         out[some] = np.add.reduceat(ratio, first)
         return out
 
-    def evidence(self, texts: list[str]) -> list[tuple[float, float]]:
-        """For each text what exceeds the median word by the margin, per word, and the highest fiftieth's mean excess."""
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: its mean word, what exceeds the median word by the margin, per word, and the highest fiftieth's mean excess."""
         split = [t.split() for t in texts]
         memo = self._memo
         if len(memo) > MEMO:
@@ -152,15 +157,13 @@ class Model:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             memo.update(zip(part, self.words(part).tolist(), strict=True))
-        out = []
-        for words in split:
+        out = np.zeros((len(split), len(EVIDENCE)))
+        for row, words in zip(out, split, strict=True):
             x = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
             x = x[~np.isnan(x)]
-            if not len(x):
-                out.append((0.0, 0.0))
-                continue
-            x -= np.median(x)
-            out.append((float(np.maximum(x - MARGIN, 0).mean()), float(np.sort(x)[-max(1, len(x) // 50) :].mean())))
+            if len(x):
+                above = x - np.median(x)
+                row[:] = x.mean(), np.maximum(above - MARGIN, 0).mean(), np.sort(above)[-max(1, len(x) // 50) :].mean()
         for w in new:
             if len(w) > MEMO_LEN:
                 del memo[w]
@@ -170,16 +173,16 @@ class Model:
         """Logistic regression by Newton's method on standardized evidence."""
         spread = np.maximum(x.std(axis=0), 1e-9)
         z = np.c_[np.ones(len(x)), x / spread]
-        w, ridge = np.zeros(3), np.diag([1e-3, 1.0, 1.0])
+        w, ridge = np.zeros(1 + x.shape[1]), np.diag([1e-3, *[1.0] * x.shape[1]])
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
-        self.scale = np.array([w[0], *(w[1:] / spread), 1.0])
+        self.scale = np.array([w[0], *(w[1:] / spread)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if not self.scale[3]:
+        if self.scale is None:
             return np.zeros(len(x))
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] + x @ self.scale[1:3], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] + x @ self.scale[1:], -30, 30)))
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, held_fold: int = 2, max_docs: int
     at = fold(F.col("doc_id"))
     marks = labels.filter("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     marks = marks.filter(at != held_fold).withColumn("calibrates", at == (held_fold + 1) % 4)
-    # the first max_docs of each class, to count and to calibrate on
-    rank = F.row_number().over(Window.partitionBy("toxic", "calibrates").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    marks = marks.withColumn("rank", rank).filter(F.col("rank") <= max_docs).drop("rank")
-    marks = scratch.put(marks, "labels")
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # 4 * max_docs rows at most
+    # the first max_docs of each class, to count and to calibrate on: every task's first, then the first of those
+    first = [marks.filter((F.col("toxic") == t) & (F.col("calibrates") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for t in (0, 1) for c in (False, True)]
+    marks = scratch.put(first[0].union(first[1]).union(first[2]).union(first[3]), "labels")
+    rows = docs.filter("text is not null").select("doc_id", "text")
+    rows = rows.join(F.broadcast(marks.select("doc_id").distinct()), "doc_id", "left_semi")  # 4 * max_docs ids at most
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).join(F.broadcast(marks), "doc_id")
     rows = scratch.put(rows, "rows")
     fit = rows.filter("not calibrates").select("text", "toxic")
     counted = fit.mapInArrow(count_grams, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -217,31 +221,30 @@ def train(docs: DataFrame, labels: DataFrame, held_fold: int = 2, max_docs: int
     model = Model(counts["gram"], n0, n1)
     seen = evidence(rows.filter("calibrates").select(F.col("toxic").cast("long").alias("doc_id"), "text"), model).toPandas()
     if seen["doc_id"].nunique() == 2:
-        model.calibrate(seen[["per_word", "peak"]].to_numpy(), seen["doc_id"].to_numpy())
+        model.calibrate(seen[list(EVIDENCE)].to_numpy(), seen["doc_id"].to_numpy())
     return model
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, per_word, peak, score for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # arrays bounded by the sample of max_docs rows of each class
+    """doc_id, the evidence and score for every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # arrays bounded by the sample of max_docs ids of each class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in slices(batches, "text"):
             x = model.evidence([t or "" for t in b.column("text").to_pylist()])
-            cols = [pa.array([v[0] for v in x]), pa.array([v[1] for v in x]), pa.array(model.score(np.array(x)))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "per_word", "peak", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, x.T.copy()), pa.array(model.score(x))], ["doc_id", *EVIDENCE, "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, per_word double, peak double, score double")
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{e} double" for e in (*EVIDENCE, "score")))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_fold: int = 2, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted and the evidence for every row."""
     model = train(docs, labels, held_fold)
     if model is None:
-        out = docs.select(F.col("doc_id").cast("long"), *(F.lit(0.0).alias(c) for c in ("per_word", "peak", "score")))
+        out = docs.select(F.col("doc_id").cast("long"), *(F.lit(0.0).alias(c) for c in (*EVIDENCE, "score")))
     else:
         out = evidence(docs, model)
     held = (fold(F.col("doc_id")) == held_fold).alias("held_out")
-    return out.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "per_word", "peak")
+    return out.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *EVIDENCE)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import chat, langid, linededup, media, minhash, mixing, packing, quality, tokencount, toxicity
 from riskloom.llm.queries import vocabulary
+from riskloom.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, hash string, words string, leaf string"
 
@@ -71,9 +72,19 @@ def test_quality_lines(spark):
     assert not got[3]["kept"] and not got[4]["kept"]
 
 
+def bag(text):
+    """The five-word shingles of a text, in plain Python."""
+    w = text.split()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def overlap(x, y):
+    union = sum((x | y).values())
+    return sum((x & y).values()) / union if union else 1.0
+
+
 def classes_by_force(rows, threshold=0.8):
-    shingles = minhash.Shingles()
-    bags = [None if t is None else shingles.of(t) for _, t, *_ in rows]
+    bags = [None if t is None else bag(t) for _, t, *_ in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -81,9 +92,13 @@ def classes_by_force(rows, threshold=0.8):
             x = root[x]
         return x
 
-    for a in range(len(rows)):
-        for b in range(a):
-            if bags[a] is not None and bags[b] is not None and minhash.similarity(bags[a], bags[b]) >= threshold:
+    held = {}  # only texts that share a shingle, or have none, can be alike
+    for a, x in enumerate(bags):
+        for s in () if x is None else x or (None,):
+            held.setdefault(s, []).append(a)
+    for a, x in enumerate(bags):
+        for b in () if x is None else sorted({b for s in x or (None,) for b in held[s] if b < a}):
+            if find(a) != find(b) and overlap(x, bags[b]) >= threshold:
                 root[find(a)] = find(b)
     least = {}
     for i, (d, *_) in enumerate(rows):
@@ -93,12 +108,67 @@ def classes_by_force(rows, threshold=0.8):
 
 
 def test_near_duplicates(docs, rows, empty):
-    small = [x for x in rows if len(x[1] or "") < 100_000]
-    got = Counter(map(tuple, minhash.near_duplicates(docs.filter("text is null or length(text) < 100000")).collect()))
-    assert got == classes_by_force(small)
+    got = Counter(map(tuple, minhash.near_duplicates(docs).collect()))
+    assert got == classes_by_force(rows)
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_common_boilerplate(spark):
+    """Texts that share two thirds of their words, so that they fill large buckets, with few true copies among them."""
+    r = random.Random(10)
+    common = words(r, 120, 10**6)
+    own = [words(r, 60, 10**6).split() for _ in range(90)]
+    rows = [(i, f"{common} {' '.join(w)}") for i, w in enumerate(own)]
+    rows += [(100 + i, f"{common} {' '.join([*own[i][:30 + i % 3], f'z{i}', *own[i][31 + i % 3:]])}") for i in range(0, 90, 3)]
+    want = classes_by_force(rows)
+    assert len({c for _, c in want}) > 60
+    assert Counter(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())) == want
+
+
+def test_links_of_rare_items(spark):
+    """Rare items alone find every link, in pairs and in blocks."""
+    r = random.Random(11)
+    common, rows = words(r, 40, 10**6).split(), []
+    for i in range(60):
+        own = words(r, 60, 10**6).split()
+        for k in range(1 + i % 3):
+            t = [*common, *own]
+            for _ in range(k * 3):
+                t[r.randrange(40, 100)] = f"q{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    bags = [bag(t) for _, t in rows]
+    want = {(a, b) for b in range(len(rows)) for a in range(b) if overlap(bags[a], bags[b]) >= 0.8}
+    items = spark.createDataFrame(rows, "key long, text string").mapInArrow(minhash.listed, "key long, items array<long>").cache()
+    member = items.select("key", F.col("key").alias("root"))
+    groups = minhash._rare_groups(items, member, 0.8)
+    assert want and want <= {tuple(x) for x in minhash._pairs(groups).collect()}
+    # every text is a component, so what a block leaves out its other links join
+    found = {tuple(x) for x in minhash._block_links(groups, items, 0.8, Scratch(spark, "t")).collect()}
+    join = lambda links: {frozenset(c) for c in joined(len(rows), links)}
+    assert found <= want and join(found) == join(want)
+
+
+def joined(n, links):
+    root = list(range(n))
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = [x if r == y else r for r in root]
+    out = {}
+    for i, r in enumerate(root):
+        out.setdefault(r, []).append(i)
+    return out.values()
+
+
+def test_near_duplicate_recall(spark):
+    """Links of all pairs of whole texts, of which none may be lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(x["doc_id"], x["text"]) for x in docs.select("doc_id", "text").collect()]
+    want = classes_by_force(rows)
+    got = Counter(map(tuple, minhash.near_duplicates(docs).collect()))
+    print("documents", len(rows), "classes", len({c for _, c in want}), "found", len({c for _, c in got}))
+    assert got == want
+
+
 def test_near_duplicate_family(spark):
     """A large family of copies around a text: those with up to three edits link to it, others to what shares their edits."""
     r = random.Random(9)
@@ -415,6 +485,27 @@ def test_toxicity_keeps_rare_strings(spark):
     assert all((x["doc_id"] >= 10_000) == bool(x["predicted"]) for x in held)
 
 
+def test_toxicity_evidence_and_repeated_ids(spark):
+    r = random.Random(13)
+    data = [(i, words(r, 30, 200) + (" vile scum" if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in data], "doc_id long, toxic int")
+    once = spark.createDataFrame(data, "doc_id long, text string")
+    thrice = once.union(once).union(once)
+    x, y = toxicity.train(once, labels), toxicity.train(thrice, labels)
+    assert (x.strings[0] == y.strings[0]).all() and np.allclose(x.strings[1], y.strings[1]) and np.allclose(x.scale, y.scale)
+    texts = ["vile w1 w2, w3!", "", "!!", "w5"]
+    ratio = lambda w: x.words([w])[0]
+    for row, t in zip(x.evidence(texts), texts, strict=True):
+        v = np.array([ratio(w) for w in t.split() if toxicity.normal(w)])
+        above = v - np.median(v) if len(v) else v
+        want = (v.mean(), np.maximum(above - toxicity.MARGIN, 0).mean(), above.max()) if len(v) else (0, 0, 0)
+        assert np.allclose(row, want)
+    out = toxicity.score_toxicity(thrice, labels, threshold=0.5).collect()
+    assert len(out) == 1200 and len({(q["doc_id"], q["score"]) for q in out}) == 400
+    several = spark.createDataFrame([(0, f"text number {i} of one id") for i in range(50)], "doc_id long, text string")
+    assert toxicity.score_toxicity(once.filter("doc_id > 0").union(several), labels).count() == 449
+
+
 def test_mixing_picks_the_seeded_prefix(docs, rows):
     """Every leaf's documents and epochs by a plain sort of the seeded order."""
     import struct

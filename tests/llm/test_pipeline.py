@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline as pipeline
 from riskloom.llm import minhash
 from riskloom.llm.base import table
-from tests.llm.test_operators import SCHEMA, classes_by_force, lines_by_force, pieces_hold, rows  # noqa: F401
+from tests.llm.test_operators import SCHEMA, bag, classes_by_force, lines_by_force, overlap, pieces_hold, rows  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,13 +42,12 @@ def test_near_duplicate_stage_on_odd_ids(spark, rows):
     odd += [(None, far[0], "en", "s1"), (7, far[1], "en", "s1"), (7, far[2], "en", "s1"), (7, far[3], "en", "s1"), (None, odd[0][1], "en", "s1"), (300, far[0], "en", "s1")]
     docs = spark.createDataFrame([(*x, len(x[1] or ""), "r", "h", "w", "l") for x in odd], SCHEMA).repartition(3)
     got = pipeline.near_duplicate_stage(spark, docs, "").collect()
-    shingles = minhash.Shingles()
-    bags = [shingles.of(t) for _, t, *_ in odd if t is not None]
+    bags = [bag(t) for _, t, *_ in odd if t is not None]
     texts = [(d, t) for d, t, *_ in odd if t is not None]
     root = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
-            if root[a] != root[b] and minhash.similarity(bags[a], bags[b]) >= 0.8:
+            if root[a] != root[b] and overlap(bags[a], bags[b]) >= 0.8:
                 root = [root[b] if r == root[a] else r for r in root]
     first = {}
     for r, (d, t) in zip(root, texts, strict=True):
