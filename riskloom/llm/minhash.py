@@ -372,8 +372,11 @@ def _rare_groups(items: DataFrame, member: DataFrame, threshold: float) -> DataF
     rare = shared.withColumn("places", places.cast("int")).filter("places > 0")
     rare = rare.select("key", (F.col("size") * 8).alias("own"), F.explode(F.slice("s", F.lit(1), F.col("places"))).alias("x")).join(member, "key")
     rare = rare.select(F.col("x.item").alias("bucket"), "key", "root", "own")
-    about = rare.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("own").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return rare.drop("own").join(about.filter("lo <> hi").drop("lo", "hi"), "bucket")
+    held = (F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    about = rare.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("own").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"), *held)
+    # one of the items that the same texts hold will do
+    about = about.filter("lo <> hi").groupBy("n", "bytes", "lo", "hi", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "bytes")
+    return rare.drop("own").join(about, "bucket")
 
 
 def _block_links(member: DataFrame, items: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
