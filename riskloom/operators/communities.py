@@ -1,97 +1,97 @@
-"""Small dense communities by modularity (Louvain)."""
+"""Small dense communities by modularity, with moves in rounds over the whole graph."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import r2, rounded
-from riskloom.operators.components import components
 from riskloom.scratch import Scratch
 
+#: Rounds of moves on one graph, and graphs, each made of the communities of the one before.
+ROUNDS, LEVELS = 12, 4
+
+
+def payment_graph(tx: DataFrame) -> DataFrame:
+    """a, b, w: pairs of accounts in order of name, with what they paid each other; a transfer to oneself is a loop."""
+    return tx.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("amount_c").alias("w"))
+
 
-def louvain(edges: list[tuple[str, str, float]], total: float) -> dict[str, str]:
-    """Node to community (its least node). edges: each pair once; total: weight of the whole graph.
+def both_ways(graph: DataFrame) -> DataFrame:
+    return graph.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").union(graph.filter("a <> b").select("b", "a", "w"))
 
-    Nodes are visited in order of name and move to the neighbouring community with
-    the largest gain, the least name among equals, until none moves; communities
-    become nodes and it starts again.
+
+def move(links: DataFrame, home: DataFrame, total: int, turn: int) -> DataFrame:
+    """node, degree, community, better: where each node is, whether it gains by a move, and if it's its turn, where it went.
+
+    A node gains w(node, c) - degree(node) * degree(c) / 2 total, both without the
+    node itself; the largest gain wins, the least name among equals. All nodes see
+    the same state, so half of them, by a hash, wait for the next round: two that
+    would change places don't.
     """
-    graph: dict[str, dict[str, float]] = defaultdict(dict)
-    loops: dict[str, float] = defaultdict(float)
-    for a, b, w in edges:
-        if a == b:
-            loops[a] += w
-            graph[a]
-        else:
-            graph[a][b] = graph[a].get(b, 0.0) + w
-            graph[b][a] = graph[b].get(a, 0.0) + w
-    home = {n: n for n in graph}
-    while True:
-        degree = {n: sum(graph[n].values()) + 2 * loops[n] for n in graph}
-        of, size = {n: n for n in graph}, dict(degree)
-        moved_ever, moved = False, True
-        while moved:
-            moved = False
-            for n in sorted(graph):
-                links: dict[str, float] = defaultdict(float)
-                for other, w in graph[n].items():
-                    links[of[other]] += w
-                now = of[n]
-                size[now] -= degree[n]
-                gain = lambda c: links.get(c, 0.0) - size[c] * degree[n] / (2 * total)  # noqa: B023, E731
-                best = max(sorted({*links, now}), key=lambda c: (gain(c) > gain(now) + 1e-9, gain(c)))  # noqa: B023
-                if gain(best) <= gain(now) + 1e-9:
-                    best = now
-                size[best] += degree[n]
-                if best != now:
-                    of[n], moved, moved_ever = best, True, True
-        home = {n: of[h] for n, h in home.items()}
-        if not moved_ever:
-            break
-        merged: dict[str, dict[str, float]] = defaultdict(dict)
-        inner: dict[str, float] = defaultdict(float)
-        for a in graph:
-            inner[of[a]] += loops[a]
-            merged[of[a]]
-            for b, w in graph[a].items():
-                if of[a] == of[b]:
-                    inner[of[a]] += w / 2
-                else:
-                    merged[of[a]][of[b]] = merged[of[a]].get(of[b], 0.0) + w
-        graph, loops = merged, inner
-    least: dict[str, str] = {}
-    for n in sorted(home):
-        least.setdefault(home[n], n)
-    return {n: least[h] for n, h in home.items()}
+    size = home.groupBy("community").agg(F.sum("degree").alias("size"))
+    near = links.filter("node <> other").join(home.select(F.col("node").alias("other"), "community"), "other")
+    near = near.groupBy("node", "community").agg(F.sum("w").alias("w"))
+    near = near.union(home.select("node", "community", F.lit(0).cast("long"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
+    near = near.join(size, "community").join(home.withColumnRenamed("community", "now"), "node")
+    own = F.col("community") == F.col("now")
+    gain = F.col("w") - F.col("degree") * (F.col("size") - F.when(own, F.col("degree")).otherwise(0)) / (2.0 * total)
+    best = near.groupBy("node", "degree", "now").agg(
+        F.min_by("community", F.struct(-gain, "community")).alias("best"), F.max(gain).alias("gain"), F.max(F.when(own, gain)).alias("stay")
+    )
+    better = F.col("gain") > F.col("stay") + 1e-9 * total
+    go = better & (F.pmod(F.xxhash64("node", F.lit(turn // 2)) + turn, F.lit(2)) == 0)
+    return best.select("node", "degree", F.when(go, F.col("best")).otherwise(F.col("now")).alias("community"), better.alias("better"))
 
 
-def communities(tx: DataFrame, smallest: int = 3, largest: int = 12, density: float = 0.5) -> DataFrame:
-    """Communities of few accounts that mostly pay each other.
+def partition(graph: DataFrame, scratch: Scratch) -> DataFrame:
+    """account_id, community: Louvain's two steps in turn, as joins and sums.
 
-    Modularity's optimum never joins nodes of two components, so each component is
-    a group of its own and only the whole graph's weight is shared. A component is
-    handled in one task: the largest one bounds what this operator can take.
+    Nodes move between their neighbours' communities until none gains by it or
+    ``ROUNDS`` are over; then communities are the nodes of a smaller graph. Nothing
+    is gathered by community or component, so one that spans the graph costs no
+    more than its pairs. Only the total weight and counts go to the driver.
     """
-    scratch = Scratch(tx.sparkSession, "communities")
-    graph = tx.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("amount_c").alias("w"))
-    graph = scratch.put(graph, "graph")
-    total = float(graph.agg(F.sum("w")).first()[0] or 0)
-    roots = scratch.put(components(graph.select("a", "b"), scratch), "roots")
-
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        home = louvain(list(zip(group["a"], group["b"], group["w"].astype(float), strict=True)), total)
-        return pd.DataFrame({"account_id": list(home), "community": list(home.values())})
-
-    rooted = graph.join(roots, graph["a"] == roots["node"], "left").withColumn("root", F.coalesce("root", "a"))
-    home = scratch.put(rooted.groupBy("root").applyInPandas(split, "account_id string, community string"), "home")
-    sizes = home.groupBy("community").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("account_id")).alias("members"))
-    sizes = sizes.filter(F.col("n").between(smallest, largest))
-    x, y = (home.select(F.col("account_id").alias(c), F.col("community").alias(f"c{c}")) for c in "ab")
+    total = graph.agg(F.sum("w")).first()[0] or 0
+    of = both_ways(graph).select("node").distinct().select(F.col("node").alias("account_id"), F.col("node").alias("community"))
+    for level in range(LEVELS):
+        links = scratch.put(both_ways(graph), f"links{level}")
+        # a loop counts twice
+        home = links.groupBy("node").agg(F.sum(F.when(F.col("node") == F.col("other"), 2 * F.col("w")).otherwise(F.col("w"))).alias("degree"))
+        home = scratch.put(home.select("node", "degree", F.col("node").alias("community")), "home")
+        moved = False
+        for turn in range(ROUNDS):
+            after = scratch.put(move(links, home, total, turn), "moved")
+            eager = after.filter("better").limit(1).count()
+            scratch.free(home)
+            home = after.drop("better")
+            if not eager:
+                break
+            moved = True
+        if not moved:
+            break
+        names = home.select(F.col("node").alias("community"), F.col("community").alias("joined"))
+        of = scratch.put(of.join(names, "community").select("account_id", F.col("joined").alias("community")), "of")
+        x, y = (names.select(F.col("community").alias(c), F.col("joined").alias(f"c{c}")) for c in "ab")
+        merged = graph.join(x, "a").join(y, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
+        graph = scratch.put(merged, f"graph{level + 1}")
+    return of
+
+
+def evidence(home: DataFrame, graph: DataFrame, smallest: int = 3, largest: int = 12, density: float = 0.5) -> DataFrame:
+    """members, size, density, score of the communities (account_id, community) of few accounts that mostly pay each other."""
+    sizes = home.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n").between(smallest, largest))
+    few = home.join(sizes, "community")
+    members = few.groupBy("community", "n").agg(F.array_sort(F.collect_list("account_id")).alias("members"))
+    x, y = (few.select(F.col("account_id").alias(c), F.col("community").alias(f"c{c}")) for c in "ab")
     inner = graph.filter("a <> b").join(x, "a").join(y, "b").filter("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.count("*").alias("m"))
     share = 2 * F.col("m") / (F.col("n") * (F.col("n") - 1))
-    found = sizes.join(inner, "community").withColumn("share", share).filter(F.col("share") >= density)
+    found = members.join(inner, "community").withColumn("share", share).filter(F.col("share") >= density)
     return found.select("members", F.col("n").alias("size"), rounded(F.col("share"), 3).alias("density"), r2(F.least(F.lit(1.0), "share")).alias("score"))
+
+
+def communities(tx: DataFrame, smallest: int = 3, largest: int = 12, density: float = 0.5) -> DataFrame:
+    """Communities of few accounts that mostly pay each other."""
+    scratch = Scratch(tx.sparkSession, "communities")
+    graph = scratch.put(payment_graph(tx), "graph")
+    return evidence(scratch.put(partition(graph, scratch), "communities"), graph, smallest, largest, density)

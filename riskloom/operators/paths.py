@@ -7,34 +7,43 @@ from pyspark.sql import functions as F
 
 from riskloom.scratch import Scratch
 
+HOPS = "hop int, src string, dst string, tx_id string, amount_c long, us long, channel string"
 
-def trace_path(tx: DataFrame, source: str, target: str, max_hops: int = 6) -> DataFrame:
+
+def trace_path(tx: DataFrame, source: str, target: str, max_hops: int = 6, accounts: DataFrame | None = None) -> DataFrame:
     """The hops (hop, src, dst, tx_id, amount_c, us, channel) of a shortest flow; none if there is none.
 
-    Breadth first: every round joins the frontier with the transfers that leave it
-    and drops nodes seen before. A node remembers one transfer, the first as given
-    among those that reach it in its round, so nothing grows with the number of
-    paths. An account is not a flow to itself.
+    Breadth first, on each pair's first transfer as given: every round joins the
+    frontier with the pairs that leave it and drops nodes seen before. A node
+    remembers one transfer, the first as given among those that reach it in its
+    round, so nothing grows with the number of paths. An account is not a flow to
+    itself; with ``accounts``, both ends must be among them.
     """
     spark, scratch = tx.sparkSession, Scratch(tx.sparkSession, "paths")
-    rounds = [spark.createDataFrame([(source, None, None)], "node string, parent string, pos long")]
-    hops: list[tuple[int, str, str, int]] = []
-    for _ in range(max_hops if source != target else 0):
-        seen = rounds[0].select("node")
-        for r in rounds[1:]:
-            seen = seen.union(r.select("node"))
-        out = tx.join(rounds[-1].select("node"), F.col("src") == F.col("node"), "left_semi")
-        first = out.groupBy("dst").agg(F.min(F.struct("tx_pos", "src")).alias("f"))
-        new = first.join(seen, F.col("dst") == F.col("node"), "left_anti").select(F.col("dst").alias("node"), F.col("f.src").alias("parent"), F.col("f.tx_pos").alias("pos"))
-        rounds.append(scratch.put(new, "frontier"))
-        if rounds[-1].filter(F.col("node") == target).limit(1).count():
-            node = target
-            for hop in range(len(rounds) - 1, 0, -1):
-                row = rounds[hop].filter(F.col("node") == node).first()
-                hops.append((hop, row["parent"], node, row["pos"]))
-                node = row["parent"]
-            break
-        if not rounds[-1].limit(1).count():
+    if source == target:
+        raise ValueError("source and target are the same account")
+    if accounts is not None and accounts.filter(F.col("account_id").isin(source, target)).select("account_id").distinct().count() < 2:
+        raise ValueError("unknown account")
+    first = F.min(F.struct("tx_pos", "src", "tx_id", "amount_c", "us", "channel"))
+    edges = scratch.put(tx.filter("src <> dst").groupBy("src", "dst").agg(first.alias("f")), "edges")
+    seen = spark.createDataFrame([(source,)], "node string")
+    frontier, rounds, hops = seen, [], []
+    for _ in range(max_hops):
+        reached = edges.join(frontier, F.col("src") == F.col("node"), "left_semi").groupBy(F.col("dst").alias("node")).agg(F.min("f").alias("f"))
+        rounds.append(scratch.put(reached.join(seen, "node", "left_anti"), "frontier"))
+        n, found = rounds[-1].agg(F.count("*"), F.count_if(F.col("node") == target)).first()
+        if found or not n:
             break
-    path = spark.createDataFrame(hops, "hop int, src string, dst string, tx_pos long")  # max_hops rows at most
-    return tx.join(F.broadcast(path), ["tx_pos", "src", "dst"]).select("hop", "src", "dst", "tx_id", "amount_c", "us", "channel")
+        frontier = rounds[-1].select("node")
+        seen = seen.union(frontier)
+    node = target
+    for hop in range(len(rounds), 0, -1) if found else ():
+        f = rounds[hop - 1].filter(F.col("node") == node).select("f.*").first()
+        hops.append((hop, f["src"], node, f["tx_id"], f["amount_c"], f["us"], f["channel"]))
+        node = f["src"]
+    return spark.createDataFrame(hops[::-1], HOPS)  # max_hops rows at most
+
+
+def flow_of(path: DataFrame) -> DataFrame:
+    """One row on a path: whether there is one, its hops and what they moved in all."""
+    return path.agg((F.count("*") > 0).alias("found"), F.count("*").alias("n_hops"), F.coalesce(F.sum("amount_c"), F.lit(0)).alias("total_c"))

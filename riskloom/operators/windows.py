@@ -1,4 +1,4 @@
-"""Operators on sliding windows of event time: one sort for each account, no pairs of events."""
+"""Operators on sliding windows of event time: running sums, no pairs of events."""
 
 from __future__ import annotations
 
@@ -18,17 +18,41 @@ def pairs(tx: DataFrame) -> DataFrame:
     return tx.groupBy("src", "dst").agg(F.sum("amount_c").alias("total_c"), F.max("amount_c").alias("max_c"), F.count("*").alias("n"))
 
 
-def forward(key: str, span: int):
-    return Window.partitionBy(key).orderBy("us").rangeBetween(0, span)
+def ahead(events: DataFrame, span: int) -> DataFrame:
+    """account_id, us, here, n, total_c, end_us: what the window of ``span`` from each time of an account on holds.
+
+    events: account_id, us, amount_c. Time is cut in strips of the span, so a window
+    is the rest of its strip and the start of the next one; both come from sums that
+    run along a strip. So no window is summed row by row, and a busy account is
+    spread over its strips.
+    """
+    strip = F.floor(F.col("at") / span)
+    own = events.select("account_id", F.col("us").alias("at"), "us", "amount_c", F.lit(1).cast("long").alias("one"))
+    ends = events.select("account_id", F.col("us") + span, "us", F.lit(0).cast("long"), F.lit(0).cast("long")).distinct()
+    points = own.union(ends).withColumn("strip", strip)
+    whole = Window.partitionBy("account_id", "strip")
+    time = whole.orderBy("at")
+    upto, before = time.rangeBetween(Window.unboundedPreceding, 0), time.rangeBetween(Window.unboundedPreceding, -1)
+    at_event = F.when(F.col("one") == 1, F.col("at"))
+    sums = lambda c: (F.sum(c).over(upto), F.sum(c).over(whole) - F.coalesce(F.sum(c).over(before), F.lit(0)))
+    (n_upto, n_rest), (c_upto, c_rest) = sums("one"), sums("amount_c")
+    starts = F.col("one") == 1
+    parts = points.select(
+        "account_id", "us", "one", F.when(starts, n_rest).alias("n_rest"), F.when(starts, c_rest).alias("c_rest"), F.when(starts, F.max(at_event).over(whole)).alias("last"),
+        F.when(~starts, n_upto).alias("n_next"), F.when(~starts, c_upto).alias("c_next"), F.when(~starts, F.max(at_event).over(upto)).alias("later"),
+    )
+    zero = lambda c: F.coalesce(F.max(c), F.lit(0))
+    return parts.groupBy("account_id", "us").agg(
+        F.sum("one").alias("here"), (F.max("n_rest") + zero("n_next")).alias("n"), (F.max("c_rest") + zero("c_next")).alias("total_c"),
+        F.coalesce(F.max("later"), F.max("last")).alias("end_us"),
+    )
 
 
 def structuring(tx: DataFrame, line_c: int = 1_000_000, least: int = 3, span: int = 72 * HOUR) -> DataFrame:
     """First window of many transfers to one account, each just below the line, that together reach it."""
-    w = forward("dst", span)
     band = tx.filter((F.col("amount_c") * 10 >= 7 * line_c) & (F.col("amount_c") < line_c))
-    found = band.select("dst", "us", F.count("*").over(w).alias("n"), F.sum("amount_c").over(w).alias("total_c"), F.max("us").over(w).alias("end_us"))
-    found = found.filter((F.col("n") >= least) & (F.col("total_c") >= line_c))
-    first = found.groupBy(F.col("dst").alias("account_id")).agg(F.min(F.struct("us", "n", "total_c", "end_us")).alias("f")).select("account_id", "f.*")
+    found = ahead(band.select(F.col("dst").alias("account_id"), "us", "amount_c"), span).filter((F.col("n") >= least) & (F.col("total_c") >= line_c))
+    first = found.groupBy("account_id").agg(F.min(F.struct("us", "n", "total_c", "end_us")).alias("f")).select("account_id", "f.*")
     span_h = hours(F.col("end_us") - F.col("us"))
     close = F.greatest(F.lit(0.0), at_most_one((F.col("total_c") / F.col("n") / float(line_c) - 0.7) / 0.3))
     tight = 1.0 - at_most_one(span_h / (span / HOUR))
@@ -41,12 +65,8 @@ def structuring(tx: DataFrame, line_c: int = 1_000_000, least: int = 3, span: in
 
 def activity_spike(tx: DataFrame, least: int = 5, quiet: int = 5, value_c: int = 2_000_000, span: int = 24 * HOUR) -> DataFrame:
     """The busiest window of an account that is quiet besides."""
-    w, all_ = forward("account_id", span), Window.partitionBy("account_id")
-    rows = endpoints(tx).select(
-        "account_id", "us", F.count("*").over(w).alias("n"), F.sum("amount_c").over(w).alias("value_c"),
-        F.max("us").over(w).alias("end_us"), F.count("*").over(all_).alias("all"),
-    )
-    best = rows.groupBy("account_id", "all").agg(F.max(F.struct("n", (-F.col("us")).alias("m"), "value_c", "end_us")).alias("b")).select("account_id", "all", "b.*")
+    rows = ahead(endpoints(tx).select("account_id", "us", "amount_c"), span).withColumnRenamed("total_c", "value_c")
+    best = rows.groupBy("account_id").agg(F.sum("here").alias("all"), F.max(F.struct("n", (-F.col("us")).alias("m"), "value_c", "end_us")).alias("b")).select("account_id", "all", "b.*")
     best = best.withColumn("outside", F.col("all") - F.col("n"))
     best = best.filter((F.col("all") >= least) & (F.col("n") >= least) & (F.col("outside") <= quiet) & (F.col("value_c") >= value_c))
     burst = F.col("n") / F.greatest(F.lit(1), "outside")

@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
-from riskloom.plans.score import PROFILE, SCREENING, WEIGHTS
-from riskloom.plans.views import CATEGORIES
+# Fixed values, written out here once more so that a slip in the plans shows.
+WEIGHTS = {
+    "structuring": 0.9, "circular": 0.9, "passthrough": 0.8, "fan_in": 0.8, "fan_out": 0.8, "fiat_to_crypto": 0.7, "community": 0.15,
+    "round_amounts": 0.25, "dormant_reactivation": 0.3, "activity_spike": 0.3, "device_linkage": 0.6,
+}
+SCREENING = {"sanctioned": 4.5, "blacklisted": 2.5, "prior_fraud": 1.8, "account_takeover": 1.4}
+PROFILE = {
+    "high_risk_country": 0.45, "fresh_account": 0.30, "kyc_risk": 0.30, "crypto_channel": 0.25, "pep": 0.40, "watchlist": 0.40,
+    "prior_sars": 0.40, "adverse_media": 0.45, "shell_company": 0.50, "geo_mismatch": 0.35, "high_risk_mcc": 0.30, "vpn_tor": 0.30,
+    "failed_verifications": 0.25, "activity_vs_profile": 0.45, "chargeback_history": 0.30, "device_integrity": 0.40, "ip_risk": 0.35,
+    "automation": 0.35, "auth_anomaly": 0.30, "prior_fraud": 0.50, "account_takeover": 0.40, "blacklisted": 0.50, "unverified": 0.25,
+    "historical_risk": 0.35,
+}
+SHOWN = {
+    "Behavioural": (0, ["structuring", "circular", "passthrough", "fan_in", "fan_out", "round_amounts", "dormant_reactivation", "activity_spike", "automation", "auth_anomaly"]),
+    "Network": (1, ["network_association", "device_linkage", "community", "geo_mismatch", "ip_risk", "vpn_tor"]),
+    "Crypto": (2, ["fiat_to_crypto", "crypto_channel"]),
+    "Identity": (3, ["high_risk_country", "fresh_account", "kyc_risk", "unverified", "pep", "high_risk_mcc", "activity_vs_profile", "shell_company", "failed_verifications"]),
+    "Screening": (4, ["watchlist", "sanctions_hit"]),
+    "Device": (5, ["device_integrity"]),
+    "History": (6, ["prior_sars", "adverse_media", "chargeback_history", "prior_fraud", "account_takeover", "blacklisted", "historical_risk"]),
+}
+EVERY = {
+    "pep": 53, "sanctioned": 211, "watchlist": 67, "adverse_media": 71, "nominee_owner": 5, "vpn_tor": 13, "emulator": 37,
+    "rooted_jailbroken": 23, "proxy": 47, "prior_fraud": 97, "account_takeover": 101, "blacklisted": 103,
+}
 
 
 def rnd(x: str, digits: int) -> str:
@@ -58,27 +82,23 @@ def round_amounts(name: str, step: int) -> str:
         FROM (SELECT *, amount_c % {step} = 0 AND amount_c >= {step} AS c FROM ends) GROUP BY account_id) WHERE n >= 3)"""
 
 
-def cycles(chain: str, name: str, longest: int, span: int) -> list[str]:
+def cycles(chain: str, name: str, longest: int, span: int, hops: str = "hops", shortest: int = 3) -> list[str]:
     took = f"(at_us - start_us) / {H}e0"
     return [
         f"""{chain}(start, node, nodes, tx_ids, start_us, at_us, out_c, back_c, start_pos, closed) AS (
-  SELECT src, dst, [src, dst], [tx_id], us, us, amount_c, amount_c, tx_pos, false FROM hops WHERE bef = -4000000000000000000
+  SELECT src, dst, [src, dst], [tx_id], us, us, amount_c, amount_c, tx_pos, false FROM {hops} WHERE bef = -4000000000000000000
   UNION ALL
   SELECT p.start, h.dst, CASE WHEN h.dst = p.start THEN p.nodes ELSE list_append(p.nodes, h.dst) END, list_append(p.tx_ids, h.tx_id), p.start_us, h.us, p.out_c, h.amount_c, p.start_pos, h.dst = p.start
-  FROM {chain} p JOIN hops h ON h.src = p.node AND h.us > p.at_us AND h.bef <= p.at_us AND h.us <= p.start_us + {span * H}
+  FROM {chain} p JOIN {hops} h ON h.src = p.node AND h.us > p.at_us AND h.bef <= p.at_us AND h.us <= p.start_us + {span * H}
   WHERE NOT p.closed AND (h.dst = p.start OR (len(p.nodes) < {longest} AND NOT list_contains(p.nodes, h.dst))))""",
         f"""{name} AS (SELECT * FROM (SELECT list_sort(nodes) AS members, nodes, tx_ids, len(nodes) AS length, {rnd("back_c / out_c", 2)} AS retention, {rnd(took, 1)} AS hours,
   {rnd(f"least(1e0, 0.5e0 * (back_c / out_c) + 0.5e0 * (1e0 - least(1e0, ({took}) / {span}e0)))", 2)} AS score, start_us, at_us AS end_us, start_pos
-  FROM {chain} WHERE closed AND len(nodes) >= 3 AND back_c * 10 >= out_c * 7 AND back_c * 4 <= out_c * 5)
+  FROM {chain} WHERE closed AND len(nodes) >= {shortest} AND back_c * 10 >= out_c * 7 AND back_c * 4 <= out_c * 5)
   WHERE NOT list_has_all((SELECT coalesce(list(account_id), []) FROM acc WHERE {LEGIT}), members)
   QUALIFY row_number() OVER (PARTITION BY members ORDER BY score DESC, start_us, start_pos, nodes) = 1)""",
     ]
 
 
-def flags(spec: str) -> str:
-    return ", ".join(f"k % {n} = 0 AS {c}" for c, n in (x.split(":") for x in spec.split()))
-
-
 SCREEN = " UNION ALL ".join(f"SELECT account_id, '{'sanctions_hit' if c == 'sanctioned' else c}' AS detector, {v}e0 AS points FROM acc WHERE {c}" for c, v in SCREENING.items())
 
 
@@ -114,6 +134,16 @@ SIGNALS = {
     "activity_vs_profile": f"CASE WHEN expected_monthly_volume > 0 AND all_c >= 1000000 AND all_c / 100e0 / expected_monthly_volume >= 4 THEN {rnd('least(1e0, all_c / 100e0 / expected_monthly_volume / 20e0)', 2)} END",
 } | {n: yes(n) for n in ("pep", "watchlist", "adverse_media", "vpn_tor", "prior_fraud", "account_takeover", "blacklisted")}
 
+FLAGS = ("pep", "sanctioned", "watchlist", "adverse_media", "nominee_owner", "prior_fraud", "account_takeover", "blacklisted", "emulator", "rooted_jailbroken", "proxy", "vpn_tor")
+COUNTS = {"prior_sars": 0, "chargeback_count": 0, "disputes_count": 0, "failed_logins_30d": 0, "device_count": 1, "distinct_ips": 1, "linked_accounts": 0}
+ELEVATED = " UNION ALL ".join(
+    [f"SELECT account_id, '{f}' AS attribute, 'true' AS value FROM acc WHERE {f}" for f in FLAGS]
+    + ["SELECT account_id, 'unverified', 'true' FROM acc WHERE verification_level = 'unverified'"]
+    + [f"SELECT account_id, '{n}', CAST({n} AS VARCHAR) FROM acc WHERE {n} > {m}" for n, m in COUNTS.items()]
+    + [f"SELECT account_id, '{x}', printf('%.2f', {rnd(x, 2)}) FROM acc WHERE {x} >= 0.5e0" for x in ("ip_risk_score", "automation_score", "historical_risk_score", "night_activity_ratio")]
+    + ["SELECT account_id, 'ip_country_mismatch', ip_country || ' vs home ' || country FROM acc WHERE ip_country <> country"]
+)
+
 CTES = [
     "u AS (SELECT max(user_id) + 1 AS n FROM events)",
     """tx AS (SELECT 'T' || event_id AS tx_id, epoch_us(ts) AS us, 'A' || (user_id * 10 + event_id % 10) AS src,
@@ -131,7 +161,7 @@ CTES = [
   k % 6 AS failed_verifications, CASE WHEN k % 31 = 0 THEN k % 5 ELSE 0 END AS chargeback_count, CASE WHEN k % 11 = 0 THEN 'unverified' ELSE 'basic' END AS verification_level,
   (k % 100) / 100e0 AS ip_risk_score, k % 8 AS failed_logins_30d, (k % 60) / 100e0 AS automation_score, (k % 80) / 100e0 AS historical_risk_score, (k % 90) / 100e0 AS night_activity_ratio,
   1 + k % 3 AS device_count, 1 + k % 4 AS distinct_ips, k % 3 AS disputes_count, k % 2 AS linked_accounts, k,
-  {flags("pep:53 sanctioned:211 watchlist:67 adverse_media:71 nominee_owner:5 vpn_tor:13 emulator:37 rooted_jailbroken:23 proxy:47 prior_fraud:97 account_takeover:101 blacklisted:103")}
+  {", ".join(f"k % {n} = 0 AS {c}" for c, n in EVERY.items())}
   FROM (SELECT *, c_custkey AS k FROM customer)))""",
     "ends AS (SELECT src AS account_id, us, amount_c, tx_pos, tx_id, channel FROM tx UNION ALL SELECT dst, us, amount_c, tx_pos, tx_id, channel FROM tx)",
     "pairs AS (SELECT src, dst, CAST(sum(amount_c) AS BIGINT) AS total_c, max(amount_c) AS max_c, count(*) AS n FROM tx GROUP BY src, dst)",
@@ -164,10 +194,14 @@ CTES = [
     fan("fan_in", "dst", "src"),
     fan("fan_out", "src", "dst"),
     "hops AS (SELECT * FROM (SELECT t.*, coalesce(lag(us) OVER (PARTITION BY src, dst ORDER BY us, tx_pos), -4000000000000000000) AS bef FROM tx t SEMI JOIN (SELECT * FROM pairs WHERE max_c >= 100000 AND src <> dst) p USING (src, dst)) WHERE bef < us)",
+    "hops_long AS (SELECT * FROM (SELECT t.*, coalesce(lag(us) OVER (PARTITION BY src, dst ORDER BY us, tx_pos), -4000000000000000000) AS bef FROM tx t SEMI JOIN (SELECT * FROM pairs WHERE max_c >= 150000 AND src <> dst) p USING (src, dst)) WHERE bef < us)",
     *cycles("chain", "circular", 5, 72),
     *cycles("chain_relaxed", "circular_relaxed", 3, 720),
-    "findings AS (SELECT 'circular' AS detector, 'subgraph' AS kind, members AS ids, score, CAST(NULL AS VARCHAR[]) AS cps FROM circular"
-    + "".join(f" UNION ALL SELECT '{d}', 'account', [account_id], score, {'counterparties' if d.startswith('fan') else 'NULL'} FROM {d}" for d in ("structuring", "passthrough", "fiat_to_crypto", "round_amounts", "dormant_reactivation", "activity_spike", "device_linkage", "fan_in", "fan_out"))
+    *cycles("chain_long", "circular_long", 5, 480, "hops_long", 4),
+    "findings AS (SELECT 'circular' AS detector, 'subgraph' AS kind, members AS ids, score, CAST(NULL AS VARCHAR[]) AS cps, start_us, end_us FROM circular"
+    + "".join(f" UNION ALL SELECT '{d}', 'account', [account_id], score, NULL, start_us, end_us FROM {d}" for d in ("structuring", "passthrough", "fiat_to_crypto", "dormant_reactivation", "activity_spike"))
+    + "".join(f" UNION ALL SELECT '{d}', 'account', [account_id], score, NULL, NULL, NULL FROM {d}" for d in ("round_amounts", "device_linkage"))
+    + "".join(f" UNION ALL SELECT '{d}', 'account', [account_id], score, counterparties, start_us, NULL FROM {d}" for d in ("fan_in", "fan_out"))
     + ")",
     f"factors AS (SELECT account_id, CASE WHEN {LEGIT} THEN 0.18e0 ELSE 1e0 END AS factor FROM acc)",
     f"""behaviour AS (SELECT account_id, points, least(1e0, points / 0.9e0) AS base FROM (SELECT s.account_id, p / 10000e0 * coalesce(factor, 1e0) AS points
@@ -218,11 +252,12 @@ def measured(name: str, source: str) -> str:
 CTES += [
     measured("seed_measures", "(SELECT DISTINCT members, [detector] AS patterns FROM seeds)"),
     measured("ring_measures", "clusters"),
-    """rings AS (SELECT printf('DET_%03d', row_number() OVER (ORDER BY score DESC, members[1])) AS ring_id, * FROM ring_measures WHERE len(members) >= 3 AND max_risk >= 0.5e0 AND score >= 0.45e0 AND volume_c >= 1500000)""",
-    "member AS (SELECT ring_id, unnest(members) AS account_id FROM rings)",
-    "ring_tx AS (SELECT ring_id, tx.* FROM rings JOIN tx ON list_contains(members, src) AND list_contains(members, dst))",
-    "ring_one AS (SELECT account_id, min(ring_id) AS ring FROM member GROUP BY account_id)",
-    "tx_ring AS (SELECT tx_id, min(ring_id) AS ring FROM ring_tx GROUP BY tx_id)",
+    """rings AS (SELECT printf('DET_%03d', place) AS ring_id, * FROM (SELECT row_number() OVER (ORDER BY score DESC, members[1]) AS place, * FROM ring_measures
+  WHERE len(members) >= 3 AND max_risk >= 0.5e0 AND score >= 0.45e0 AND volume_c >= 1500000))""",
+    "member AS (SELECT ring_id, place, unnest(members) AS account_id FROM rings)",
+    "ring_tx AS (SELECT ring_id, place, tx.* FROM rings JOIN tx ON list_contains(members, src) AND list_contains(members, dst))",
+    "ring_one AS (SELECT account_id, arg_min(ring_id, place) AS ring FROM member GROUP BY account_id)",
+    "tx_ring AS (SELECT tx_id, arg_min(ring_id, place) AS ring FROM ring_tx GROUP BY tx_id)",
     "scored AS (SELECT acc.*, coalesce(risk, 0e0) AS risk FROM acc LEFT JOIN risk USING (account_id))",
     "hits AS (SELECT unnest(ids) AS account_id, detector, score FROM findings)",
     """edges AS (SELECT tx.tx_id, src, dst, amount_c, coalesce(a.risk, 0e0) >= 0.5e0 OR coalesce(b.risk, 0e0) >= 0.5e0 AS suspicious, ring, channel, us, tx_pos
@@ -231,7 +266,14 @@ CTES += [
     "near1 AS (SELECT DISTINCT n FROM (SELECT src AS n FROM own UNION ALL SELECT dst FROM own) WHERE n <> 'A7')",
     "state AS (SELECT account_id, CASE WHEN risk >= 0.9e0 THEN 'frozen' ELSE 'active' END AS status FROM scored)",
     "sides AS (SELECT dst AS account_id, src AS party, amount_c AS i, 0 AS o, us, true AS inn FROM tx UNION ALL SELECT src, dst, 0, amount_c, us, false FROM tx WHERE src <> dst)",
+    """near_hits AS (SELECT account_id, string_agg(detector || ':' || printf('%.2f', score), ' ' ORDER BY score DESC, detector, ids) AS findings FROM (SELECT * FROM (SELECT unnest(ids) AS account_id, * FROM findings)
+  QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY score DESC, detector, ids) <= 10) GROUP BY account_id)""",
+    f"marks AS (SELECT account_id, attribute || '=' || value AS flag FROM ({ELEVATED}))",
     "bfs(node, depth) AS (SELECT 'A7', 0 UNION SELECT t.dst, b.depth + 1 FROM bfs b JOIN pairs t ON t.src = b.node WHERE b.depth < 6)",
+    "level AS (SELECT node, min(depth) AS d FROM bfs GROUP BY node)",
+    """parent AS (SELECT l.node, l.d, t.src, t.tx_id, t.amount_c, t.us, t.channel FROM level l JOIN tx t ON t.dst = l.node JOIN level p ON p.node = t.src AND p.d = l.d - 1
+  QUALIFY row_number() OVER (PARTITION BY l.node ORDER BY t.tx_pos) = 1)""",
+    "path AS (SELECT * FROM parent WHERE node = 'A900' UNION ALL SELECT p.* FROM path b JOIN parent p ON p.node = b.src)",
 ]
 
 
@@ -250,7 +292,11 @@ def ego(edges: int, nodes: int) -> str:
     return f"SELECT e.* EXCLUDE (tx_pos) FROM {near} e, (SELECT list(n) AS keep FROM {ranked} WHERE place <= {nodes} OR n = 'A7') WHERE list_contains(keep, src) AND list_contains(keep, dst)"
 
 
-CATEGORY = case("detector", {n: f"'{c}'" for c, names in CATEGORIES.items() for n in names.split()}, "'other'")
+CATEGORY = case("detector", {n: f"'{c}'" for c, (_, names) in SHOWN.items() for n in names}, "'Other'")
+PLACE = case("category", {c: i for c, (i, _) in SHOWN.items()}, "7")
+NOTE = f"""concat_ws(' ', coalesce(owner_name, 'Unknown owner') || ', account ' || account_id || ': ' || verdict || ' at risk ' || CAST(floor(risk * 100 + 0.5e0) AS BIGINT) || ' of 100.',
+  'In ' || CAST(floor(coalesce(i, 0) / 100) AS BIGINT) || ' EUR from ' || coalesce(senders, 0) || ', out ' || CAST(floor(coalesce(o, 0) / 100) AS BIGINT) || ' EUR to ' || coalesce(recipients, 0) || '.',
+  'Signals: ' || signals || '.', 'Profile: ' || flags || '.', CASE verdict WHEN 'mule' THEN 'Put before a reviewer.' WHEN 'watch' THEN 'Look again after the next analysis.' ELSE 'Nothing to do.' END)"""
 MULES = "SELECT account_id FROM acc WHERE k % 7 = 0"
 TRUE = "(SELECT 'T' || (k // 14) AS ring_id, list(DISTINCT account_id) AS ids FROM acc WHERE k % 7 = 0 GROUP BY k // 14)"
 
@@ -270,7 +316,7 @@ FINALS = {
     "fan_out": f"SELECT * EXCLUDE (counterparties), {joined('counterparties')} FROM fan_out",
     "pair_sums": "SELECT * FROM pairs",
     "money_edges": "SELECT src, dst FROM pairs WHERE max_c >= 100000",
-    "findings": f"SELECT detector, kind AS subject_type, array_to_string(ids, ',') AS subject_ids, score FROM findings",
+    "findings": "SELECT detector, kind AS subject_type, array_to_string(ids, ',') AS subject_ids, score, start_us, end_us, array_to_string(cps, ',') AS counterparties FROM findings",
     "behaviour_points": "SELECT * FROM behaviour",
     "screening_points": "SELECT * FROM screening",
     "network_association": "SELECT * FROM association",
@@ -280,9 +326,9 @@ FINALS = {
     "ring_seeds": f"SELECT detector, score, {joined('members')} FROM seeds",
     "seed_measures": f"SELECT {joined('members', 'patterns')}, volume_c, max_risk, avg_risk, score FROM seed_measures",
     "rings": f"""SELECT ring_id, {joined("members")}, {joined("patterns")}, score, (SELECT string_agg(account_id, ',' ORDER BY r DESC, account_id) FROM (SELECT m.account_id, coalesce(risk, 0e0) AS r FROM member m LEFT JOIN risk USING (account_id)
-  WHERE m.ring_id = rings.ring_id ORDER BY r DESC, m.account_id LIMIT 3)) AS key_accounts, (SELECT count(*) FROM ring_tx t WHERE t.ring_id = rings.ring_id) AS n_tx FROM rings""",
+  WHERE m.ring_id = rings.ring_id ORDER BY r DESC, m.account_id LIMIT 3)) AS key_accounts, (SELECT string_agg(tx_id, ',' ORDER BY src, dst, tx_pos) FROM ring_tx t WHERE t.ring_id = rings.ring_id) AS tx_ids, (SELECT count(*) FROM ring_tx t WHERE t.ring_id = rings.ring_id) AS n_tx FROM rings""",
     "summary": "SELECT (SELECT count(*) FROM acc) AS accounts, (SELECT count(*) FROM tx) AS transactions, (SELECT count(*) FROM rings) AS rings_detected, (SELECT count(*) FROM risk WHERE risk >= 0.5e0) AS flagged_accounts",
-    "accounts_list": f"""SELECT account_id, owner_name, account_type, country, kyc_risk, status, {rnd("risk", 3)} AS risk, coalesce((SELECT string_agg(ring_id, ',' ORDER BY ring_id) FROM member m WHERE m.account_id = scored.account_id), '') AS rings,
+    "accounts_list": f"""SELECT account_id, owner_name, account_type, country, kyc_risk, status, {rnd("risk", 3)} AS risk, coalesce((SELECT string_agg(ring_id, ',' ORDER BY place) FROM member m WHERE m.account_id = scored.account_id), '') AS rings,
   coalesce(n, 0) AS n_findings FROM scored LEFT JOIN (SELECT account_id, count(*) AS n FROM hits GROUP BY account_id) USING (account_id)""",
     "ego_graph_1": "SELECT * EXCLUDE (tx_pos) FROM edges WHERE src = 'A7' OR dst = 'A7'",
     "ego_graph_2": ego(1500, 400),
@@ -299,7 +345,8 @@ FINALS = {
     "auto_freeze": "SELECT * FROM state",
     "decided_status": "SELECT account_id, CASE WHEN k % 10 = 3 THEN 'active' WHEN k % 10 = 4 THEN 'blocked' ELSE state.status END AS status, k % 10 NOT IN (3, 4) AS auto FROM state JOIN acc USING (account_id)",
     "review_queue": f"""SELECT account_id, owner_name, account_type, kyc_risk, state.status, {rnd("risk", 3)} AS risk, coalesce((SELECT string_agg(DISTINCT detector, ',' ORDER BY detector) FROM hits h WHERE h.account_id = scored.account_id), '') AS patterns,
-  least(10, (SELECT count(*) FROM hits h WHERE h.account_id = scored.account_id)) AS n_findings FROM scored JOIN state USING (account_id) WHERE state.status <> 'active'""",
+  least(10, (SELECT count(*) FROM hits h WHERE h.account_id = scored.account_id)) AS n_findings,
+  printf('Risk %d%% ≥ freeze threshold 90%%', CAST(round(risk * 100) AS INTEGER)) AS summary, coalesce(findings, '') AS findings FROM scored JOIN state USING (account_id) LEFT JOIN near_hits USING (account_id) WHERE state.status <> 'active'""",
     "under_review": "SELECT count(*) FILTER (status <> 'active') AS under_review, 0.9e0 AS threshold FROM state",
     "evaluate": f"""SELECT tp, fp, fn, m AS rings_matched, rt AS rings_true, rd AS rings_detected, rd - nr AS false_positive_rings, {rnd("p", 3)} AS precision, {rnd("r", 3)} AS recall, {rnd("CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0e0 END", 3)} AS f1,
   {rnd("m / rt", 3)} AS ring_recall, {rnd("CASE WHEN rd > 0 THEN (rd - nr) / rd ELSE 0e0 END", 3)} AS false_positive_rate
@@ -308,24 +355,39 @@ FINALS = {
     (SELECT count(*) FROM ({MULES}) WHERE account_id NOT IN (SELECT account_id FROM risk WHERE risk >= 0.5e0)) AS fn, (SELECT count(*) FROM rings) AS rd, (SELECT count(*) FROM {TRUE}) AS rt,
     (SELECT count(*) FROM {TRUE} t WHERE EXISTS (SELECT 1 FROM rings WHERE len(list_intersect(members, ids)) / len(ids) >= 0.6e0)) AS m,
     (SELECT count(*) FROM rings WHERE EXISTS (SELECT 1 FROM {TRUE} t WHERE len(list_intersect(members, ids)) / len(members) >= 0.3e0)) AS nr))""",
-    "account_profile": "SELECT account_id, owner_name, risk, CASE WHEN risk >= 0.6e0 THEN 'high' WHEN risk >= 0.3e0 THEN 'medium' ELSE 'low' END AS risk_band, verification_level, ip_country, state.status FROM scored JOIN state USING (account_id)",
-    "trace_path": "SELECT min(depth) AS n_hops FROM bfs WHERE node = 'A900' HAVING count(*) > 0",
+    "account_profile": "SELECT account_id, owner_name, risk, CASE WHEN risk >= 0.6e0 THEN 'high' WHEN risk >= 0.3e0 THEN 'medium' ELSE 'low' END AS risk_band, verification_level, business_category, ip_country, ip_risk_score, emulator, automation_score, prior_fraud, email, state.status, coalesce(findings, '') AS findings FROM scored JOIN state USING (account_id) LEFT JOIN near_hits USING (account_id)",
+    "trace_path": "SELECT d AS hop, src, node AS dst, tx_id, amount_c, us, channel FROM path",
+    "trace_flow": "SELECT count(*) > 0 AS found, count(*) AS n_hops, CAST(coalesce(sum(amount_c), 0) AS BIGINT) AS total_c FROM path",
+    "circular_long": f"SELECT {joined('members', 'nodes', 'tx_ids')}, length, retention, hours, score, start_us, end_us FROM circular_long",
+    "community_evidence": f"""SELECT array_to_string(members, ',') AS members, size, {rnd("share", 3)} AS density, {rnd("least(1e0, share)", 2)} AS score FROM (
+  SELECT members, size, 2 * m / (size * (size - 1)) AS share FROM (SELECT k // 5 AS c, list_sort(list(account_id)) AS members, count(*) AS size FROM acc GROUP BY 1)
+  JOIN (SELECT x.k // 5 AS c, count(*) AS m FROM (SELECT DISTINCT least(src, dst) AS p, greatest(src, dst) AS q FROM tx WHERE src <> dst) JOIN acc x ON p = x.account_id JOIN acc y ON q = y.account_id AND x.k // 5 = y.k // 5 GROUP BY 1) USING (c)
+  WHERE size BETWEEN 3 AND 12) WHERE share >= 0.1e0""",
+    "ring_findings": """SELECT detector, array_to_string(ids, ',') AS subject_ids, score FROM (SELECT DISTINCT detector, ids, score FROM findings WHERE list_has_any(ids, (SELECT members FROM rings WHERE ring_id = 'DET_001'))
+  ORDER BY detector, ids LIMIT 50)""",
+    "ring_keys": """SELECT r.ring_id, r.score, CAST(len(r.members) AS INTEGER) AS n_accounts, CAST((SELECT count(*) FROM ring_tx t WHERE t.ring_id = r.ring_id) AS INTEGER) AS n_tx, m.place - 1 AS place, m.account_id, m.risk, a.owner_name
+  FROM rings r JOIN (SELECT ring_id, member.account_id, risk, row_number() OVER (PARTITION BY ring_id ORDER BY coalesce(risk, 0e0) DESC, member.account_id) AS place FROM member LEFT JOIN risk USING (account_id)
+  QUALIFY row_number() OVER (PARTITION BY ring_id ORDER BY coalesce(risk, 0e0) DESC, member.account_id) <= 3) m USING (ring_id) LEFT JOIN acc a USING (account_id)""",
+    "account_findings": "SELECT detector, array_to_string(ids, ',') AS subject_ids, score, start_us, end_us FROM findings WHERE list_contains(ids, 'A7')",
+    "account_signals": "SELECT account_id, risk, detector, score FROM shown JOIN risk USING (account_id) WHERE account_id = 'A7'",
+    "verdicts": f"""SELECT account_id, verdict, {NOTE} AS text FROM (SELECT *, CASE WHEN risk >= 0.5e0 THEN 'mule' WHEN risk >= 0.3e0 THEN 'watch' ELSE 'clear' END AS verdict FROM scored)
+  LEFT JOIN (SELECT account_id, sum(i) AS i, sum(o) AS o, count(DISTINCT party) FILTER (inn) AS senders, count(DISTINCT party) FILTER (NOT inn) AS recipients FROM sides GROUP BY account_id) USING (account_id)
+  LEFT JOIN (SELECT account_id, string_agg(detector || ' ' || printf('%.2f', score), ', ' ORDER BY score DESC, detector) AS signals FROM (SELECT * FROM shown QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY score DESC, detector) <= 4) GROUP BY account_id) USING (account_id)
+  LEFT JOIN (SELECT account_id, string_agg(flag, ', ' ORDER BY flag) AS flags FROM (SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY flag) <= 5) GROUP BY account_id) USING (account_id)""",
+    "streaming_bursts": f"""SELECT account_id, start_us, start_us + {72 * H} AS end_us, count(*) AS n, CAST(sum(amount_c) AS BIGINT) AS total_c
+  FROM (SELECT dst AS account_id, amount_c, (us // {12 * H} - i) * {12 * H} AS start_us FROM tx, range(6) AS r(i) WHERE amount_c >= 700000 AND amount_c < 1000000)
+  WHERE start_us + {72 * H} <= (SELECT max(us) // 1000 * 1000 - {H} FROM tx) GROUP BY account_id, start_us HAVING count(*) >= 3 AND sum(amount_c) >= 1000000""",
     "compare_rings": """SELECT a.ring_id AS ring_a, b.ring_id AS ring_b, array_to_string(list_sort(list_intersect(a.members, b.members)), ',') AS shared_accounts, array_to_string(list_sort(list_intersect(a.patterns, b.patterns)), ',') AS shared_patterns,
-  len(list_intersect(a.members, b.members)) AS n_shared, CAST(x.c AS BIGINT) AS amount_c_a, CAST(y.c AS BIGINT) AS amount_c_b FROM rings a JOIN rings b ON a.ring_id < b.ring_id AND len(list_intersect(a.members, b.members)) > 0
+  len(list_intersect(a.members, b.members)) AS n_shared, CAST(x.c AS BIGINT) AS amount_c_a, CAST(y.c AS BIGINT) AS amount_c_b FROM rings a JOIN rings b ON a.place < b.place AND len(list_intersect(a.members, b.members)) > 0
   LEFT JOIN (SELECT ring_id, sum(amount_c) AS c FROM ring_tx GROUP BY ring_id) x ON x.ring_id = a.ring_id LEFT JOIN (SELECT ring_id, sum(amount_c) AS c FROM ring_tx GROUP BY ring_id) y ON y.ring_id = b.ring_id""",
     "flow_summary": f"""SELECT *, CASE WHEN total_in_c > 0 THEN {rnd("total_out_c / total_in_c", 2)} END AS passthrough_ratio FROM (SELECT account_id, CAST(sum(i) AS BIGINT) AS total_in_c, CAST(sum(o) AS BIGINT) AS total_out_c, CAST(sum(i) - sum(o) AS BIGINT) AS retained_c,
   count(DISTINCT party) FILTER (inn) AS distinct_senders, count(DISTINCT party) FILTER (NOT inn) AS distinct_recipients, min(us) AS first_us, max(us) AS last_us FROM sides GROUP BY account_id)""",
     "top_counterparties": """SELECT * FROM (SELECT account_id, party, count(*) AS n_tx, CAST(sum(i + o) AS BIGINT) AS total_c, CASE WHEN inn THEN 'in' ELSE 'out' END AS side, row_number() OVER (PARTITION BY account_id, inn ORDER BY sum(i + o) DESC, party) AS place
   FROM sides GROUP BY account_id, party, inn) WHERE place <= 10""",
-    "elevated_profile": "SELECT account_id, attribute, value FROM (" + " UNION ALL ".join(
-        [f"SELECT account_id, '{f}' AS attribute, 'true' AS value FROM acc WHERE {f}" for f in ("pep", "sanctioned", "watchlist", "adverse_media", "nominee_owner", "prior_fraud", "account_takeover", "blacklisted", "emulator", "rooted_jailbroken", "proxy", "vpn_tor")]
-        + ["SELECT account_id, 'unverified', 'true' FROM acc WHERE verification_level = 'unverified'"]
-        + [f"SELECT account_id, '{n}', CAST({n} AS VARCHAR) FROM acc WHERE {n} > {m}" for n, m in (("prior_sars", 0), ("chargeback_count", 0), ("disputes_count", 0), ("failed_logins_30d", 0), ("device_count", 1), ("distinct_ips", 1), ("linked_accounts", 0))]
-        + [f"SELECT account_id, '{s}', printf('%.2f', {rnd(s, 2)}) FROM acc WHERE {s} >= 0.5e0" for s in ("ip_risk_score", "automation_score", "historical_risk_score", "night_activity_ratio")]
-        + ["SELECT account_id, 'ip_country_mismatch', ip_country || ' vs home ' || country FROM acc WHERE ip_country <> country"]) + ")",
+    "elevated_profile": f"SELECT account_id, attribute, value FROM ({ELEVATED})",
     "search": f"SELECT account_id, {rnd('risk', 3)} AS risk FROM scored WHERE contains(lower(account_type), 'business') AND (lower(country) = 'cy')",
     "risk_tiers": "SELECT CASE WHEN risk >= 0.66e0 THEN 'high' WHEN risk >= 0.33e0 THEN 'med' ELSE 'low' END AS tier, count(*) AS accounts FROM scored GROUP BY 1",
-    "signal_categories": f"SELECT account_id, {CATEGORY} AS category, count(*) AS signals, max(score) AS peak FROM shown JOIN risk USING (account_id) GROUP BY 1, 2",
+    "signal_categories": f"SELECT *, CAST({PLACE} AS BIGINT) AS place FROM (SELECT account_id, {CATEGORY} AS category, count(*) AS signals, max(score) AS peak FROM shown JOIN risk USING (account_id) GROUP BY 1, 2)",
 }
 
 

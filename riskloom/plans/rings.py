@@ -84,7 +84,7 @@ def measure(clusters: DataFrame, risk: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def rank(measured: DataFrame, risk: DataFrame, tx: DataFrame) -> DataFrame:
-    """ring_id, account_ids, tx_ids, score, patterns, key_accounts, narrative of the rings that count."""
+    """ring_id, place (its rank), account_ids, tx_ids, score, patterns, key_accounts, narrative of the rings that count."""
     good = measured.filter((F.size("members") >= LEAST_SIZE) & (F.col("max_risk") >= FLAG) & (F.col("score") >= LEAST_SCORE) & (F.col("volume_c") >= LEAST_VOLUME_C))
     flat = good.select("ring", F.explode("members").alias("account_id")).join(risk.select("account_id", "risk"), "account_id", "left")
     key = F.array_sort(F.collect_list(F.struct((-F.coalesce("risk", F.lit(0.0))).alias("m"), "account_id")))
@@ -95,7 +95,7 @@ def rank(measured: DataFrame, risk: DataFrame, tx: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("members")[0], "ring"))  # rings, not accounts
     out = good.join(keys, "ring").join(ids, "ring", "left").withColumn("place", place)
     return out.select(
-        F.format_string("DET_%03d", "place").alias("ring_id"), F.col("members").alias("account_ids"),
+        F.format_string("DET_%03d", "place").alias("ring_id"), F.col("place").cast("long").alias("place"), F.col("members").alias("account_ids"),
         F.coalesce("tx_ids", F.array().cast("array<string>")).alias("tx_ids"), "score", "patterns", "key_accounts", F.lit(None).cast("string").alias("narrative"),
     )
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import HOUR
-from riskloom.operators import cycles, linkage, paths, ranges, windows
+from riskloom.operators import communities, cycles, linkage, paths, ranges, windows
 from riskloom.plans import findings, rings, score, views
 from riskloom.plans.analysis import Analysis, analyse
 from riskloom.plans.evaluate import evaluate
+from riskloom.scratch import Scratch
 from riskloom.sources.ledger import Ledger, from_tables
 from riskloom.streaming.bursts import replay
 
@@ -20,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SQL_DETECTORS = [d for d in findings.DETECTORS if d != "community"]
 FOCUS, TARGET = "A7", "A900"
 _known: dict[tuple[str, str, bool], Analysis] = {}
+_ledgers: dict[tuple[str, str], Ledger] = {}
 
 
 def forget() -> None:
@@ -27,6 +29,15 @@ def forget() -> None:
     _known.clear()
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The test tables as a stored ledger, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ledgers:
+        given, scratch = from_tables(spark, sf_dir), Scratch(spark, "ledger")
+        _ledgers[key] = Ledger(scratch.put(given.accounts, "accounts"), scratch.put(given.tx, "tx"))
+    return _ledgers[key]
+
+
 def analysis(spark: SparkSession, sf_dir: str, full: bool = False) -> Analysis:
     """The analysis of a ledger, made once in a session: views read what is stored, as a service would.
 
@@ -34,7 +45,7 @@ def analysis(spark: SparkSession, sf_dir: str, full: bool = False) -> Analysis:
     """
     key = (spark.sparkContext.applicationId, sf_dir, full)
     if key not in _known:
-        _known[key] = analyse(from_tables(spark, sf_dir), None if full else SQL_DETECTORS)
+        _known[key] = analyse(ledger(spark, sf_dir), None if full else SQL_DETECTORS)
     return _known[key]
 
 
@@ -44,7 +55,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def on_ledger(f: Callable[[Ledger], DataFrame]) -> Query:
-    return lambda spark, sf_dir: flat(f(from_tables(spark, sf_dir)))
+    return lambda spark, sf_dir: flat(f(ledger(spark, sf_dir)))
 
 
 class on_analysis:  # noqa: N801
@@ -86,9 +97,19 @@ def evaluation(a: Analysis) -> DataFrame:
     return evaluate(a.account_risk, a.rings, mules, true)
 
 
-def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = paths.trace_path(from_tables(spark, sf_dir).tx, FOCUS, TARGET)
-    return path.agg(F.count("*").cast("int").alias("n_hops")).filter("n_hops > 0")
+def hops(g: Ledger) -> DataFrame:
+    return paths.trace_path(g.tx, FOCUS, TARGET)
+
+
+def shown_findings():
+    text = F.transform("findings", lambda f: F.format_string("%s:%.2f", f["detector"], f["score"]))
+    return F.coalesce(F.array_join(text, " "), F.lit("")).alias("findings")
+
+
+def given_communities(g: Ledger) -> DataFrame:
+    """Evidence on communities by rule, five accounts in a row each, of which few hold a payment."""
+    home = g.accounts.select("account_id", F.floor(F.substring("account_id", 2, 20).cast("long") / 5).cast("string").alias("community"))
+    return communities.evidence(home, communities.payment_graph(g.tx), density=0.1)
 
 
 def compared(a: Analysis) -> DataFrame:
@@ -115,9 +136,11 @@ QUERIES: dict[str, Query] = {
     "fan_in": on_ledger(lambda g: windows.fan(g.tx, g.accounts, True)),
     "fan_out": on_ledger(lambda g: windows.fan(g.tx, g.accounts, False)),
     "community": on_ledger(lambda g: findings.DETECTORS["community"](g)),
+    "community_evidence": on_ledger(given_communities),
+    "circular_long": on_ledger(lambda g: cycles.circular(g.tx, g.accounts, least_c=150_000, shortest=4, span=480 * HOUR)),
     "pair_sums": on_ledger(lambda g: windows.pairs(g.tx)),
     "money_edges": on_ledger(lambda g: windows.pairs(g.tx).filter("max_c >= 100000").select("src", "dst")),
-    "findings": on_analysis(lambda a: a.findings.select("detector", "subject_type", "subject_ids", "score")),
+    "findings": on_analysis(lambda a: a.findings.select("detector", "subject_type", "subject_ids", "score", "start_us", "end_us", "counterparties")),
     "behaviour_points": on_analysis(lambda a: score.behaviour(a.findings, a.ledger.accounts)),
     "screening_points": on_ledger(lambda g: score.screening(g.accounts)),
     "network_association": on_analysis(lambda a: score.association(a.ledger.tx, score.behaviour(a.findings, a.ledger.accounts), a.ledger.accounts)),
@@ -126,7 +149,7 @@ QUERIES: dict[str, Query] = {
     "account_risk": on_analysis(shown_risk),
     "ring_seeds": on_analysis(lambda a: rings.seeds(a.findings, a.ledger.tx).drop("seed")),
     "seed_measures": on_analysis(seed_measures),
-    "rings": on_analysis(lambda a: a.rings.select("ring_id", F.col("account_ids").alias("members"), "patterns", "score", "key_accounts", F.size("tx_ids").cast("long").alias("n_tx"))),
+    "rings": on_analysis(lambda a: a.rings.select("ring_id", F.col("account_ids").alias("members"), "patterns", "score", "key_accounts", "tx_ids", F.size("tx_ids").cast("long").alias("n_tx"))),
     "summary": on_analysis(views.summary),
     "accounts_list": on_analysis(lambda a: views.accounts_list(a).select("account_id", "owner_name", "account_type", "country", "kyc_risk", "status", "risk", "rings", "n_findings")),
     "ego_graph_1": on_analysis(lambda a: views.ego_edges(a, FOCUS)),
@@ -139,15 +162,20 @@ QUERIES: dict[str, Query] = {
     "ring_accounts": on_analysis(lambda a: views.ring_detail(a, "DET_001", "accounts").select("account_id", "owner_name", "risk")),
     "ring_transactions": on_analysis(lambda a: views.ring_detail(a, "DET_001", "transactions").select(*CUT)),
     "ring_findings": on_analysis(lambda a: views.ring_detail(a, "DET_001", "findings").select("detector", "subject_ids", "score")),
+    "ring_keys": on_analysis(lambda a: views.ring_keys(a).withColumn("place", F.col("place").cast("long"))),
+    "account_findings": on_analysis(lambda a: views.account_detail(a, FOCUS)["findings"].select("detector", "subject_ids", "score", "start_us", "end_us")),
+    "account_signals": on_analysis(lambda a: views.account_detail(a, FOCUS)["risk"].select("account_id", "risk", F.explode("top_signals").alias("s")).select("account_id", "risk", "s.detector", "s.score")),
     "account_transactions": on_analysis(lambda a: views.account_detail(a, FOCUS)["transactions"].select(*CUT, "us")),
     "transaction_detail": on_analysis(lambda a: views.transaction_detail(a, a.ledger.tx.filter("tx_id = 'T7'"))),
     "auto_freeze": on_analysis(lambda a: views.statuses(a).drop("auto")),
     "decided_status": on_analysis(lambda a: views.statuses(a, decisions(a))),
-    "review_queue": on_analysis(lambda a: views.review_queue(a).select("account_id", "owner_name", "account_type", "kyc_risk", "status", "risk", "patterns", "n_findings")),
+    "review_queue": on_analysis(lambda a: views.review_queue(a).select("account_id", "owner_name", "account_type", "kyc_risk", "status", "risk", "summary", "patterns", "n_findings", shown_findings())),
     "under_review": on_analysis(views.under_review),
     "evaluate": on_analysis(evaluation),
-    "account_profile": on_analysis(lambda a: views.account_profile(a).select("account_id", "owner_name", "risk", "risk_band", "identity.verification_level", "network.ip_country", "status")),
-    "trace_path": hops,
+    "account_profile": on_analysis(lambda a: views.account_profile(a).select("account_id", "owner_name", "risk", "risk_band", "identity.verification_level", "identity.business_category", "network.ip_country", "network.ip_risk_score",
+                                                                              "device.emulator", "behaviour.automation_score", "history.prior_fraud", "contact.email", "status", shown_findings())),
+    "trace_path": lambda spark, sf_dir: hops(ledger(spark, sf_dir)),
+    "trace_flow": lambda spark, sf_dir: paths.flow_of(hops(ledger(spark, sf_dir))),
     "compare_rings": on_analysis(compared),
     "flow_summary": on_ledger(lambda g: views.flow_summary(g.tx)),
     "top_counterparties": on_ledger(lambda g: views.top_counterparties(g.tx)),
@@ -156,7 +184,7 @@ QUERIES: dict[str, Query] = {
     "search": on_analysis(lambda a: views.search(views.accounts_list(a), "business CY").select("account_id", "risk")),
     "risk_tiers": on_analysis(views.tiers),
     "signal_categories": on_analysis(views.signal_categories),
-    "full_rings": lambda spark, sf_dir: flat(analyse(from_tables(spark, sf_dir)).rings.drop("narrative", "tx_ids")),
+    "full_rings": lambda spark, sf_dir: flat(analysis(spark, sf_dir, full=True).rings.drop("narrative", "tx_ids")),
     "streaming_bursts": replay,
 }
 #: Every query on the analysis once more, by all detectors; full_rings is there already, with other columns.

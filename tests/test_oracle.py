@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from riskloom import oracle, queries
@@ -22,9 +23,9 @@ def db():
 
 def rows(frame):
     def value(v):
-        if isinstance(v, (bool, np.bool_)) or v is None or isinstance(v, str):
-            return str(v)
-        return "None" if v != v else repr(round(float(v), 9))
+        if pd.isna(v):
+            return "None"
+        return str(v) if isinstance(v, (bool, np.bool_, str)) else repr(round(float(v), 9))
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(map(value, r)) for r in frame.itertuples(index=False))
