@@ -132,7 +132,7 @@ def test_communities_are_as_modular_as_plain_ones(spark):
         a = r.randrange(96)
         b = (a // 8) * 8 + r.randrange(8) if r.random() < 0.75 else r.randrange(96)
         if a != b:
-            weights[tuple(sorted((group[a], group[b])))] += r.randrange(1, 50)
+            weights[tuple(sorted((group[a], group[b])))] += r.randrange(1, 50) * 10**9
     edges = [(a, b, w) for (a, b), w in weights.items()]
     graph = spark.createDataFrame(edges, "a string, b string, w long")
     home = {x["account_id"]: x["community"] for x in communities.partition(graph, Scratch(spark, "t")).collect()}
