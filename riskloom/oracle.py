@@ -316,7 +316,7 @@ FINALS = {
     "fan_out": f"SELECT * EXCLUDE (counterparties), {joined('counterparties')} FROM fan_out",
     "pair_sums": "SELECT * FROM pairs",
     "money_edges": "SELECT src, dst FROM pairs WHERE max_c >= 100000",
-    "findings": "SELECT detector, kind AS subject_type, array_to_string(ids, ',') AS subject_ids, score, start_us, end_us, array_to_string(cps, ',') AS counterparties FROM findings",
+    "findings": "SELECT detector, kind AS subject_type, array_to_string(ids, ',') AS subject_ids, score, coalesce(start_us, 0) AS start_us, coalesce(end_us, 0) AS end_us, array_to_string(cps, ',') AS counterparties FROM findings",
     "behaviour_points": "SELECT * FROM behaviour",
     "screening_points": "SELECT * FROM screening",
     "network_association": "SELECT * FROM association",
@@ -368,7 +368,7 @@ FINALS = {
     "ring_keys": """SELECT r.ring_id, r.score, CAST(len(r.members) AS INTEGER) AS n_accounts, CAST((SELECT count(*) FROM ring_tx t WHERE t.ring_id = r.ring_id) AS INTEGER) AS n_tx, m.place - 1 AS place, m.account_id, m.risk, a.owner_name
   FROM rings r JOIN (SELECT ring_id, member.account_id, risk, row_number() OVER (PARTITION BY ring_id ORDER BY coalesce(risk, 0e0) DESC, member.account_id) AS place FROM member LEFT JOIN risk USING (account_id)
   QUALIFY row_number() OVER (PARTITION BY ring_id ORDER BY coalesce(risk, 0e0) DESC, member.account_id) <= 3) m USING (ring_id) LEFT JOIN acc a USING (account_id)""",
-    "account_findings": "SELECT detector, array_to_string(ids, ',') AS subject_ids, score, start_us, end_us FROM findings WHERE list_contains(ids, 'A7')",
+    "account_findings": "SELECT detector, array_to_string(ids, ',') AS subject_ids, score, coalesce(start_us, 0) AS start_us, coalesce(end_us, 0) AS end_us FROM findings WHERE list_contains(ids, 'A7')",
     "account_signals": "SELECT account_id, risk, detector, score FROM shown JOIN risk USING (account_id) WHERE account_id = 'A7'",
     "verdicts": f"""SELECT account_id, verdict, {NOTE} AS text FROM (SELECT *, CASE WHEN risk >= 0.5e0 THEN 'mule' WHEN risk >= 0.3e0 THEN 'watch' ELSE 'clear' END AS verdict FROM scored)
   LEFT JOIN (SELECT account_id, sum(i) AS i, sum(o) AS o, count(DISTINCT party) FILTER (inn) AS senders, count(DISTINCT party) FILTER (NOT inn) AS recipients FROM sides GROUP BY account_id) USING (account_id)

@@ -101,6 +101,11 @@ def hops(g: Ledger) -> DataFrame:
     return paths.trace_path(g.tx, FOCUS, TARGET)
 
 
+def window():
+    """The times of a finding, 0 where it has none."""
+    return [F.coalesce(c, F.lit(0)).alias(c) for c in ("start_us", "end_us")]
+
+
 def shown_findings():
     text = F.transform("findings", lambda f: F.format_string("%s:%.2f", f["detector"], f["score"]))
     return F.coalesce(F.array_join(text, " "), F.lit("")).alias("findings")
@@ -140,7 +145,7 @@ QUERIES: dict[str, Query] = {
     "circular_long": on_ledger(lambda g: cycles.circular(g.tx, g.accounts, least_c=150_000, shortest=4, span=480 * HOUR)),
     "pair_sums": on_ledger(lambda g: windows.pairs(g.tx)),
     "money_edges": on_ledger(lambda g: windows.pairs(g.tx).filter("max_c >= 100000").select("src", "dst")),
-    "findings": on_analysis(lambda a: a.findings.select("detector", "subject_type", "subject_ids", "score", "start_us", "end_us", "counterparties")),
+    "findings": on_analysis(lambda a: a.findings.select("detector", "subject_type", "subject_ids", "score", *window(), "counterparties")),
     "behaviour_points": on_analysis(lambda a: score.behaviour(a.findings, a.ledger.accounts)),
     "screening_points": on_ledger(lambda g: score.screening(g.accounts)),
     "network_association": on_analysis(lambda a: score.association(a.ledger.tx, score.behaviour(a.findings, a.ledger.accounts), a.ledger.accounts)),
@@ -163,7 +168,7 @@ QUERIES: dict[str, Query] = {
     "ring_transactions": on_analysis(lambda a: views.ring_detail(a, "DET_001", "transactions").select(*CUT)),
     "ring_findings": on_analysis(lambda a: views.ring_detail(a, "DET_001", "findings").select("detector", "subject_ids", "score")),
     "ring_keys": on_analysis(lambda a: views.ring_keys(a).withColumn("place", F.col("place").cast("long"))),
-    "account_findings": on_analysis(lambda a: views.account_detail(a, FOCUS)["findings"].select("detector", "subject_ids", "score", "start_us", "end_us")),
+    "account_findings": on_analysis(lambda a: views.account_detail(a, FOCUS)["findings"].select("detector", "subject_ids", "score", *window())),
     "account_signals": on_analysis(lambda a: views.account_detail(a, FOCUS)["risk"].select("account_id", "risk", F.explode("top_signals").alias("s")).select("account_id", "risk", "s.detector", "s.score")),
     "account_transactions": on_analysis(lambda a: views.account_detail(a, FOCUS)["transactions"].select(*CUT, "us")),
     "transaction_detail": on_analysis(lambda a: views.transaction_detail(a, a.ledger.tx.filter("tx_id = 'T7'"))),

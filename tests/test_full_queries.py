@@ -24,7 +24,7 @@ def test_every_query_on_the_analysis_has_a_full_form():
 
 def test_full_findings_and_risk(spark):
     ledger = from_tables(spark, SF)
-    want = find(ledger).select("detector", "subject_type", "subject_ids", "score")
+    want = find(ledger).select("detector", "subject_type", "subject_ids", "score", *queries.window(), "counterparties")
     got = queries.queries()["full_findings"](spark, SF)
     assert rows(got) == rows(queries.flat(want))
     assert set(queries.SQL_DETECTORS) == set(DETECTORS) - {"community"}
