@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
 import corpus_pipeline as pipeline
 from riskloom.llm import minhash
 from riskloom.llm.base import table
@@ -59,3 +61,54 @@ def test_near_duplicate_stage_on_odd_ids(spark, rows):
     assert {*far, "other text of five"} <= {r["text"] for r in got}
     classes = Counter(map(tuple, minhash.near_duplicates(docs).collect()))
     assert classes == classes_by_force(odd)
+
+
+ODD = ("my-col", "b c", "x.y", "a`b", "_row", "hash", "_kept", "leaf", "Clean_Text")
+
+
+def oddly(spark, given):
+    """Rows with a column under each of the names in ODD, over three partitions."""
+    names = [*("doc_id", "text", "lang", "source", "n_chars"), *ODD]
+    kinds = StructType([StructField(n, LongType() if n in ("doc_id", "n_chars") else StringType()) for n in names])
+    return spark.createDataFrame([(*x, len(x[1] or ""), *(f"{n}{i % 2}" for n in ODD)) for i, x in enumerate(given)], kinds).repartition(3)
+
+
+def test_stages_on_odd_rows(spark, rows):
+    """Nulls, empty texts, repeated rows and ids, and columns of any name, through each stage alone."""
+    docs = oddly(spark, rows)
+    before = docs.collect()
+    extra = lambda got: Counter(tuple(r)[5:] + (r["doc_id"], r["lang"], r["source"]) for r in got)
+    out = {}
+    for name, stage in pipeline.STAGES:
+        df = stage(spark, docs, "")
+        out[name] = df.collect()
+        if name != "packing":
+            assert df.columns == docs.columns
+            assert extra(out[name]) <= extra(before)
+            assert all(r["n_chars"] == len(r["text"] or "") for r in out[name])
+    # quality: row by row, and no text without words
+    base = [r["text"] for r in out["quality"]]
+    assert all(t and len(t.split()) >= 1 for t in base)
+    assert sum(r["doc_id"] == 100 for r in out["quality"]) in (0, 2)
+    # line dedup: as by force; null and blank texts as they were
+    want = lines_by_force([(d, t) for d, t, *_ in rows])
+    assert Counter((r["doc_id"], r["text"]) for r in out["line dedup"]) == Counter(
+        (d, want[(d, t)] if t is not None else None) for d, t, *_ in rows if t is None or want[(d, t)].strip() or want[(d, t)] == t
+    )
+    # near duplicates: all null texts, one text without words, the repeated row once
+    near = out["near duplicates"]
+    assert sum(r["text"] is None for r in near) == sum(t is None for _, t, *_ in rows)
+    assert sum(r["text"] is not None and not r["text"].split() for r in near) == 1
+    assert sum(r["doc_id"] in (100, 101, 102, 103) for r in near) == 1 and sum(r["doc_id"] == 5 for r in near) == 2
+    # mixing: rows of one id together, no row twice
+    for i in (5, 100, None):
+        assert sum(r["doc_id"] == i for r in out["mixing"]) in (0, sum(d == i for d, *_ in rows)) or i == 5  # its two texts are of two leaves
+    assert Counter(map(tuple, out["mixing"])) <= Counter(map(tuple, before))
+    pieces_hold(out["packing"], [(d, t) for d, t, *_ in rows])
+
+
+def test_stages_on_an_empty_table(spark, rows):
+    none = oddly(spark, rows).limit(0)
+    for name, stage in pipeline.STAGES:
+        df = stage(spark, none, "")
+        assert df.collect() == [] and (name == "packing" or df.columns == none.columns)
