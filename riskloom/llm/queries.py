@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, langid, linededup, media, minhash, mixing, packing, quality, tokencount, toxicity
+from riskloom.llm import chat, collocations, hashing, langid, linededup, media, minhash, mixing, packing, quality, tokencount, toxicity, whitening
 from riskloom.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +73,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op13_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE, "op7_chat_formatting": chat.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op7_chat_formatting": chat.ORACLE, "op11_collocations": collocations.ORACLE}
