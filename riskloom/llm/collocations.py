@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from riskloom.scratch import Scratch
 
 #: Text bytes of a language that a task sorts at a time, and rows it hands on at a time.
-SLICE, ROWS = 8 << 20, 100_000
+SLICE, ROWS = 3 << 20, 50_000
 #: One document in so many shows where ranges are cut; so many suffixes of it a range.
 SAMPLED, CUTS = 64, 32
 _STOP = b"."
@@ -117,6 +117,8 @@ def suffixes(max_n: int, cuts: list[str] | None = None):
             for at in range(0, len(key), ROWS):
                 some = key.slice(at, ROWS).cast(pa.string())
                 yield pa.record_batch({"range": pa.array(place[at : at + ROWS]), "suffix": some, "n": pa.array(n[at : at + ROWS])})
+            del words, columns, key, some
+            pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
