@@ -1,82 +1,142 @@
-"""Small dense communities by modularity, with moves in rounds over the whole graph."""
+"""Small dense communities by modularity, with moves in rounds over the whole graph, to a local optimum."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import r2, rounded
 from riskloom.scratch import Scratch
 
-#: Rounds of moves on one graph, which end when fewer nodes than one in SETTLED gain; and graphs, each made of the communities of the one before.
-SETTLED = 100
-ROUNDS, LEVELS = 8, 4
+WIDE = "decimal(38,0)"  # products of two sums of cents pass a long
+#: All rounds but the last ones go on while they gain one in so many of the modularity's range; the last while they gain at all.
+FEW = 1_000
 
 
-def payment_graph(tx: DataFrame) -> DataFrame:
+def payment_graph(tx: DataFrame, least_c: int = 0) -> DataFrame:
     """a, b, w: pairs of accounts in order of name, with what they paid each other; a transfer to oneself is a loop."""
-    return tx.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("amount_c").alias("w"))
+    return tx.filter(F.col("amount_c") >= least_c).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("amount_c").alias("w"))
 
 
 def both_ways(graph: DataFrame) -> DataFrame:
-    return graph.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").union(graph.filter("a <> b").select("b", "a", "w"))
+    """node, other, w without loops."""
+    linked = graph.filter("a <> b")
+    return linked.select(F.col("a").alias("node"), F.col("b").alias("other"), "w").union(linked.select("b", "a", "w"))
 
 
-def move(links: DataFrame, home: DataFrame, total: int, turn: int) -> DataFrame:
-    """node, degree, community, better: where each node is, whether it gains by a move, and if it's its turn, where it went.
+def judge(links: DataFrame, home: DataFrame, twice: int) -> DataFrame:
+    """node, degree, now, gain, to of the active nodes that gain by a move, to where they gain most, the least name among equals.
 
-    A node gains w(node, c) - degree(node) * degree(c) / 2 total, both without the
-    node itself; the largest gain wins, the least name among equals. All nodes see
-    the same state, so half of them, by a hash, wait for the next round: two that
-    would change places don't.
+    A node of degree d in A gains 2T (w_B - w_A) - d (D_B - (D_A - d)) by going to B, where T is
+    the graph's weight, D a community's degree and w the node's weight to it: half of (2T)^2
+    times what the modularity gains. All terms are whole numbers, so no order of sums counts.
     """
-    size = home.groupBy("community").agg(F.sum("degree").alias("size"))
-    near = links.filter("node <> other").join(home.select(F.col("node").alias("other"), "community"), "other")
-    near = near.select("node", "community", "w").union(home.select("node", "community", F.lit(0).cast("long"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-    near = near.join(size, "community").join(home.withColumnRenamed("community", "now"), "node")
+    awake = home.filter("active").select("node", "degree", F.col("community").alias("now"), (F.col("size") - F.col("degree")).alias("rest"))
+    there = home.select(F.col("node").alias("other"), "community", "size")
+    near = links.join(awake, "node").join(there, "other").groupBy("node", "community", "degree", "now", "rest", "size").agg(F.sum("w").alias("w"))
     own = F.col("community") == F.col("now")
-    rest = F.col("size") - F.when(own, F.col("degree")).otherwise(0)
-    gain = F.col("w") - F.col("degree") / (2.0 * total) * rest  # the product of two sums of cents may pass a long
-    best = near.groupBy("node", "degree", "now").agg(
-        F.min_by("community", F.struct(-gain, "community")).alias("best"), F.max(gain).alias("gain"), F.max(F.when(own, gain)).alias("stay")
-    )
-    better = F.col("gain") > F.col("stay") + 1e-9 * total
-    go = better & (F.pmod(F.xxhash64("node", F.lit(turn // 2)) + turn, F.lit(2)) == 0)
-    return best.select("node", "degree", F.when(go, F.col("best")).otherwise(F.col("now")).alias("community"), better.alias("better"))
+    value = (times(F.lit(twice), F.col("w")) - times(F.when(own, F.col("rest")).otherwise(F.col("size")), F.col("degree"))).cast(WIDE)
+    near = near.select("node", "degree", "now", "rest", "community", own.alias("own"), value.alias("value"))
+    most = F.min(F.when(~F.col("own"), F.struct((-F.col("value")).alias("m"), "community"))).alias("t")
+    best = near.groupBy("node", "degree", "now", "rest").agg(F.max(F.when(F.col("own"), F.col("value"))).alias("stay"), most)
+    alone = -times(F.col("rest"), F.col("degree"))  # no neighbour where it is
+    gain = (-F.col("t.m") - F.coalesce("stay", alone.cast(WIDE))).cast(WIDE)
+    return best.select("node", "degree", "now", gain.alias("gain"), F.col("t.community").alias("to")).filter("gain > 0")
 
 
-def partition(graph: DataFrame, scratch: Scratch) -> DataFrame:
-    """account_id, community: Louvain's two steps in turn, as joins and sums.
+def times(a: Column, b: Column) -> Column:
+    return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+
+
+def sure(links: DataFrame, wish: DataFrame, twice: int) -> DataFrame:
+    """wish with margin: more than 0 for moves that surely gain together.
+
+    In order of gain, a move is charged with what those before it may cost it: for the same
+    source or target the product of the degrees, and, where a neighbour leaves the node's target
+    or comes to its source, the link between them (2T w). All else that two moves change in
+    each other is in their favour. Moves whose gain exceeds the charge go ahead, the first one
+    at least. So every round raises the modularity by the margins or more, and rounds must end.
+    """
+    ahead = lambda by: F.coalesce(F.sum("degree").over(Window.partitionBy(by).orderBy(F.desc("gain"), "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.struct((-F.col("gain")).alias("g"), "node")
+    a, b = wish.select("node", "now", "to", before.alias("a")), wish.select(F.col("node").alias("other"), F.col("now").alias("from"), F.col("to").alias("into"), before.alias("b"))
+    met = links.join(a, "node").join(b, "other").filter("b < a")
+    n = (F.col("to") == F.col("from")).cast("long") + (F.col("into") == F.col("now")).cast("long")
+    met = met.groupBy("node").agg(F.sum(F.col("w") * n).alias("missed"))
+    crowd = wish.withColumn("ahead", ahead("now") + ahead("to")).join(met, "node", "left")
+    charge = times(F.col("ahead"), F.col("degree")) + times(F.lit(twice), F.coalesce("missed", F.lit(0)))
+    return crowd.select("node", "to", (F.col("gain") - charge).cast(WIDE).alias("margin"))
+
+
+def sized(home: DataFrame) -> DataFrame:
+    return home.join(home.groupBy("community").agg(F.sum("degree").alias("size")), "community")
 
-    Nodes move between their neighbours' communities until few gain by it or
-    ``ROUNDS`` are over; then communities are the nodes of a smaller graph. Nothing
-    is gathered by community or component, so one that spans the graph costs no
-    more than its pairs. Only the total weight and counts go to the driver.
+
+def turn(links: DataFrame, home: DataFrame, twice: int, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """The homes after a round, how many active nodes gained by a move, and the margins' sum.
+
+    Next to be judged are nodes that gain but stayed, those that moved and their neighbours.
+    """
+    seen = Observation()
+    wish = scratch.put(judge(links, home, twice).observe(seen, F.count("*").alias("n")), "wish")
+    if not (eager := seen.get["n"]):
+        return home, 0, 0
+    went, gained = F.col("margin") > 0, Observation()
+    moved = scratch.put(sure(links, wish, twice).observe(gained, F.sum(F.when(went, F.col("margin"))).alias("margin")), "moved")
+    woken = links.join(moved.filter(went).select(F.col("node").alias("other")), "other", "left_semi").select("node").union(moved.select("node")).distinct()
+    after = home.select("node", "degree", "community").join(moved.filter(went).select("node", "to"), "node", "left").join(woken.withColumn("active", F.lit(True)), "node", "left")
+    after = after.select("node", "degree", F.coalesce("to", "community").alias("community"), F.coalesce("active", F.lit(False)).alias("active"))
+    out = scratch.put(sized(after), "home")
+    scratch.free(wish, moved, home)
+    return out, eager, int(gained.get["margin"])
+
+
+def placed(graph: DataFrame, start: DataFrame | None) -> DataFrame:
+    """node, degree, community, active, size: all nodes awake, alone or where ``start`` has them; a loop counts twice."""
+    degree = graph.select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("degree"))
+    found = degree.withColumn("community", F.col("node")) if start is None else degree.join(start, "node")
+    return sized(found.withColumn("active", F.lit(True)))
+
+
+def rounds(graph: DataFrame, start: DataFrame | None, twice: int, scratch: Scratch, to_the_end: bool = False) -> tuple[DataFrame, bool]:
+    """node, community after rounds that gain a ``FEW``th or more each, and whether there was one.
+
+    to_the_end: rounds go on while any node gains; when no active node does, all are judged.
+    """
+    links, home = scratch.put(both_ways(graph), "links"), scratch.put(placed(graph, start), "home")
+    moved, every = False, True
+    while True:
+        home, eager, margin = turn(links, home, twice, scratch)
+        much = margin * FEW >= twice * twice
+        if eager and (much or to_the_end):
+            moved, every = True, False
+        elif to_the_end and not every:
+            home, every = home.withColumn("active", F.lit(True)), True
+        else:
+            return home.select("node", "community"), moved
+
+
+def partition(graph: DataFrame, scratch: Scratch) -> DataFrame:
+    """account_id, community: a partition that no move of an account improves.
+
+    Accounts move while a round gains a ``FEW``th of the modularity's range or more. Then
+    communities move alike, as the nodes of a smaller graph, and again as nodes of one smaller
+    still, until that gives no such round. At last accounts move on from there until none
+    gains, which is the proof: every account is judged and stays. Modularity rises in every
+    round, so this ends by itself. Nothing is gathered by community or component. Only the total
+    weight, counts and sums go to the driver.
     """
-    total = graph.agg(F.sum("w")).first()[0] or 0
-    of = both_ways(graph).select("node").distinct().select(F.col("node").alias("account_id"), F.col("node").alias("community"))
-    for level in range(LEVELS):
-        links = scratch.put(both_ways(graph), f"links{level}")
-        # a loop counts twice
-        home = links.groupBy("node").agg(F.sum(F.when(F.col("node") == F.col("other"), 2 * F.col("w")).otherwise(F.col("w"))).alias("degree"))
-        home = scratch.put(home.select("node", "degree", F.col("node").alias("community")), "home")
-        moved = False
-        for turn in range(ROUNDS):
-            after = scratch.put(move(links, home, total, turn), "moved")
-            eager, n = after.agg(F.count_if("better"), F.count("*")).first()
-            scratch.free(home)
-            home = after.drop("better")
-            moved = moved or eager > 0
-            if eager * SETTLED <= n:
-                break
-        if not moved:
-            break
-        names = home.select(F.col("node").alias("community"), F.col("community").alias("joined"))
-        of = scratch.put(of.join(names, "community").select("account_id", F.col("joined").alias("community")), "of")
-        x, y = (names.select(F.col("community").alias(c), F.col("joined").alias(f"c{c}")) for c in "ab")
+    twice = 2 * int(graph.agg(F.sum("w")).first()[0] or 0)
+    if not twice:
+        return placed(graph, None).select(F.col("node").alias("account_id"), "community")
+    of, moved = rounds(graph, None, twice, scratch)[0], True
+    while moved:
+        x, y = (of.select(F.col("node").alias(c), F.col("community").alias(f"c{c}")) for c in "ab")
         merged = graph.join(x, "a").join(y, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
-        graph = scratch.put(merged, f"graph{level + 1}")
-    return of
+        home, moved = rounds(scratch.put(merged, "groups"), None, twice, scratch)
+        joined = home.select(F.col("node").alias("community"), F.col("community").alias("joined"))
+        of = scratch.put(of.join(joined, "community").select("node", F.col("joined").alias("community")), "of")
+    return rounds(graph, of, twice, scratch, to_the_end=True)[0].withColumnRenamed("node", "account_id")
 
 
 def evidence(home: DataFrame, graph: DataFrame, smallest: int = 3, largest: int = 12, density: float = 0.5) -> DataFrame:
@@ -91,8 +151,8 @@ def evidence(home: DataFrame, graph: DataFrame, smallest: int = 3, largest: int
     return found.select("members", F.col("n").alias("size"), rounded(F.col("share"), 3).alias("density"), r2(F.least(F.lit(1.0), "share")).alias("score"))
 
 
-def communities(tx: DataFrame, smallest: int = 3, largest: int = 12, density: float = 0.5) -> DataFrame:
-    """Communities of few accounts that mostly pay each other."""
+def communities(tx: DataFrame, smallest: int = 3, largest: int = 12, density: float = 0.5, least_c: int = 0) -> DataFrame:
+    """Communities of few accounts that mostly pay each other, by transfers of ``least_c`` at least."""
     scratch = Scratch(tx.sparkSession, "communities")
-    graph = scratch.put(payment_graph(tx), "graph")
+    graph = scratch.put(payment_graph(tx, least_c), "graph")
     return evidence(scratch.put(partition(graph, scratch), "communities"), graph, smallest, largest, density)

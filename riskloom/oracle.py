@@ -99,6 +99,43 @@ def cycles(chain: str, name: str, longest: int, span: int, hops: str = "hops", s
     ]
 
 
+def community(name: str, least: int) -> str:
+    """Moves in rounds as a recursion: a row for each account and turn, with its node, community and the state of the whole."""
+    return f"""{name}_pay AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(sum(amount_c) AS HUGEINT) AS w FROM tx WHERE amount_c >= {least} GROUP BY 1, 2),
+{name}_both AS (SELECT a, b, w FROM {name}_pay UNION ALL SELECT b, a, w FROM {name}_pay WHERE a <> b),
+{name}_degree AS (SELECT a AS account, sum(CASE WHEN a = b THEN 2 * w ELSE w END) AS degree FROM {name}_both GROUP BY a),
+{name}_part(turn, grouped, moved, every, last, account, node, community, active) AS (
+  SELECT 0, false, false, true, false, account, account, account, true FROM {name}_degree
+  UNION ALL
+  (WITH homes AS (SELECT node, any_value(community) AS community, bool_or(active) AS active, sum(degree) AS degree FROM {name}_part JOIN {name}_degree USING (account) GROUP BY node),
+  sizes AS (SELECT community, sum(degree) AS size FROM homes GROUP BY community),
+  links AS (SELECT x.node, y.node AS other, any_value(y.community) AS community, sum(w) AS w FROM {name}_both JOIN {name}_part x ON x.account = a JOIN {name}_part y ON y.account = b WHERE x.node <> y.node GROUP BY x.node, y.node),
+  near AS (SELECT node, community, sum(w) AS w FROM (SELECT l.node, l.community, l.w FROM links l JOIN homes h ON h.node = l.node AND h.active UNION ALL SELECT node, community, 0 FROM homes WHERE active) GROUP BY node, community),
+  judged AS (SELECT n.node, h.degree, h.community AS now, n.community, n.community = h.community AS own,
+      (SELECT 2 * sum(w) FROM {name}_pay) * n.w - h.degree * (s.size - CASE WHEN n.community = h.community THEN h.degree ELSE 0 END) AS value
+    FROM near n JOIN homes h USING (node) JOIN sizes s ON s.community = n.community),
+  eager AS (SELECT node, degree, now, max(value) FILTER (own) AS stay, min({{'m': -value, 'c': community}}) FILTER (NOT own) AS t
+    FROM judged GROUP BY node, degree, now HAVING max(value) FILTER (NOT own) > max(value) FILTER (own)),
+  wishes AS (SELECT node, degree, now, -t.m - stay AS gain, t.c AS target, md5(node) AS h FROM eager),
+  missed AS (SELECT w.node, sum(l.w * (CASE WHEN w.target = v.now THEN 1 ELSE 0 END + CASE WHEN v.target = w.now THEN 1 ELSE 0 END)) AS lost
+    FROM wishes w JOIN links l ON l.node = w.node JOIN wishes v ON v.node = l.other WHERE (w.target = v.now OR v.target = w.now) AND (v.gain > w.gain OR v.gain = w.gain AND v.node < w.node) GROUP BY w.node),
+  crowd AS (SELECT w.*, coalesce(lost, 0) * (SELECT 2 * sum(w) FROM {name}_pay) AS lost FROM wishes w LEFT JOIN missed USING (node)),
+  gone AS (SELECT node, target, gain - ahead * degree - lost AS margin FROM (SELECT *, coalesce(sum(degree) OVER (PARTITION BY now ORDER BY gain DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      + coalesce(sum(degree) OVER (PARTITION BY target ORDER BY gain DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM crowd) WHERE gain > ahead * degree + lost),
+  woken AS (SELECT node FROM links WHERE other IN (SELECT node FROM gone) UNION SELECT node FROM eager UNION SELECT node FROM gone),
+  seen AS (SELECT count(*) > 0 AS eager, coalesce((SELECT sum(margin) FROM gone), 0) * 1000 >= (SELECT 4 * sum(w) * sum(w) FROM {name}_pay) AS much FROM eager),
+  step AS (SELECT CASE WHEN grouped THEN CASE WHEN much THEN 'on' WHEN moved THEN 'groups' ELSE 'accounts' END
+      WHEN eager AND (much OR last) THEN 'on' WHEN NOT last THEN 'groups' WHEN NOT every THEN 'again' ELSE 'stop' END AS next FROM seen, (SELECT any_value(grouped) AS grouped, any_value(moved) AS moved, any_value(every) AS every, any_value(last) AS last FROM {name}_part))
+  SELECT turn + 1, CASE next WHEN 'groups' THEN true WHEN 'accounts' THEN false ELSE grouped END, next = 'on', next <> 'on', last OR next = 'accounts', account,
+    CASE next WHEN 'groups' THEN coalesce(g.target, p.community) WHEN 'accounts' THEN account ELSE p.node END, coalesce(g.target, p.community), next <> 'on' OR w.node IS NOT NULL
+  FROM {name}_part p CROSS JOIN step LEFT JOIN gone g ON g.node = p.node LEFT JOIN woken w ON w.node = p.node WHERE next <> 'stop')),
+{name}_home AS (SELECT account AS account_id, community FROM {name}_part WHERE turn = (SELECT max(turn) FROM {name}_part)),
+{name} AS (SELECT members, size, {rnd("share", 3)} AS density, {rnd("least(1e0, share)", 2)} AS score FROM (
+  SELECT members, size, 2 * m / (size * (size - 1)) AS share FROM (SELECT community, list_sort(list(account_id)) AS members, count(*) AS size FROM {name}_home GROUP BY 1)
+  JOIN (SELECT x.community, count(*) AS m FROM {name}_pay JOIN {name}_home x ON a = x.account_id JOIN {name}_home y ON b = y.account_id AND x.community = y.community WHERE a <> b GROUP BY 1) USING (community)
+  WHERE size BETWEEN 3 AND 12) WHERE share >= 0.5e0)"""
+
+
 SCREEN = " UNION ALL ".join(f"SELECT account_id, '{'sanctions_hit' if c == 'sanctioned' else c}' AS detector, {v}e0 AS points FROM acc WHERE {c}" for c, v in SCREENING.items())
 
 
@@ -198,6 +235,8 @@ CTES = [
     *cycles("chain", "circular", 5, 72),
     *cycles("chain_relaxed", "circular_relaxed", 3, 720),
     *cycles("chain_long", "circular_long", 5, 480, "hops_long", 4),
+    community("community", 0),
+    community("community_large", 3_000_000),
     "findings AS (SELECT 'circular' AS detector, 'subgraph' AS kind, members AS ids, score, CAST(NULL AS VARCHAR[]) AS cps, start_us, end_us FROM circular"
     + "".join(f" UNION ALL SELECT '{d}', 'account', [account_id], score, NULL, start_us, end_us FROM {d}" for d in ("structuring", "passthrough", "fiat_to_crypto", "dormant_reactivation", "activity_spike"))
     + "".join(f" UNION ALL SELECT '{d}', 'account', [account_id], score, NULL, NULL, NULL FROM {d}" for d in ("round_amounts", "device_linkage"))
@@ -252,7 +291,7 @@ def measured(name: str, source: str) -> str:
 CTES += [
     measured("seed_measures", "(SELECT DISTINCT members, [detector] AS patterns FROM seeds)"),
     measured("ring_measures", "clusters"),
-    """rings AS (SELECT printf('DET_%03d', place) AS ring_id, * FROM (SELECT row_number() OVER (ORDER BY score DESC, members[1]) AS place, * FROM ring_measures
+    """rings AS (SELECT printf('DET_%03d', place) AS ring_id, * FROM (SELECT row_number() OVER (ORDER BY score DESC, members) AS place, * FROM ring_measures
   WHERE len(members) >= 3 AND max_risk >= 0.5e0 AND score >= 0.45e0 AND volume_c >= 1500000))""",
     "member AS (SELECT ring_id, place, unnest(members) AS account_id FROM rings)",
     "ring_tx AS (SELECT ring_id, place, tx.* FROM rings JOIN tx ON list_contains(members, src) AND list_contains(members, dst))",
@@ -277,8 +316,13 @@ CTES += [
 ]
 
 
-def sql(final: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(CTES) + "\n" + final
+COMMUNITY = " UNION ALL SELECT 'community', 'subgraph', members, score, NULL, NULL, NULL FROM community_large)"
+
+
+def sql(final: str, full: bool = False) -> str:
+    """full: with communities among the findings."""
+    ctes = [c[:-1] + COMMUNITY if full and c.startswith("findings AS") else c for c in CTES]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + final
 
 
 def joined(*columns: str) -> str:
@@ -359,6 +403,8 @@ FINALS = {
     "trace_path": "SELECT d AS hop, src, node AS dst, tx_id, amount_c, us, channel FROM path",
     "trace_flow": "SELECT count(*) > 0 AS found, count(*) AS n_hops, CAST(coalesce(sum(amount_c), 0) AS BIGINT) AS total_c FROM path",
     "circular_long": f"SELECT {joined('members', 'nodes', 'tx_ids')}, length, retention, hours, score, start_us, end_us FROM circular_long",
+    "community": "SELECT array_to_string(members, ',') AS members, size, density, score FROM community",
+    "community_large": "SELECT array_to_string(members, ',') AS members, size, density, score FROM community_large",
     "community_evidence": f"""SELECT array_to_string(members, ',') AS members, size, {rnd("share", 3)} AS density, {rnd("least(1e0, share)", 2)} AS score FROM (
   SELECT members, size, 2 * m / (size * (size - 1)) AS share FROM (SELECT k // 5 AS c, list_sort(list(account_id)) AS members, count(*) AS size FROM acc GROUP BY 1)
   JOIN (SELECT x.k // 5 AS c, count(*) AS m FROM (SELECT DISTINCT least(src, dst) AS p, greatest(src, dst) AS q FROM tx WHERE src <> dst) JOIN acc x ON p = x.account_id JOIN acc y ON q = y.account_id AND x.k // 5 = y.k // 5 GROUP BY 1) USING (c)
@@ -391,5 +437,15 @@ FINALS = {
 }
 
 
+#: Queries on the analysis; each has a form by all detectors.
+FULL = {
+    "findings", "behaviour_points", "network_association", "account_risk", "ring_seeds", "seed_measures", "summary", "accounts_list", "ego_graph_1", "ego_graph_2", "ego_graph_2_capped", "ego_nodes",
+    "suspicious_edges", "enriched_edges", "rings_list", "ring_accounts", "ring_transactions", "ring_findings", "ring_keys", "account_findings", "account_signals", "account_transactions", "transaction_detail",
+    "auto_freeze", "decided_status", "review_queue", "under_review", "evaluate", "account_profile", "compare_rings", "verdicts", "search", "risk_tiers", "signal_categories",
+}
+FULL_RINGS = FINALS["rings"].replace("members, ',') AS members", "members, ',') AS account_ids").replace("SELECT ring_id,", "SELECT ring_id, place,", 1).replace(", (SELECT count(*) FROM ring_tx t WHERE t.ring_id = rings.ring_id) AS n_tx", "")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: sql(final) for name, final in FINALS.items()}
+    found = {name: sql(final) for name, final in FINALS.items()}
+    return found | {f"full_{name}": sql(FINALS[name], full=True) for name in FULL} | {"full_rings": sql(FULL_RINGS, full=True)}

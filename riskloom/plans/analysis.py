@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from riskloom.plans.findings import find
+from riskloom.plans.findings import Detector, find
 from riskloom.plans.rings import build_rings
 from riskloom.plans.score import score_accounts
 from riskloom.scratch import Scratch
@@ -21,7 +22,7 @@ class Analysis:
     rings: DataFrame
 
 
-def analyse(ledger: Ledger, detectors: list[str] | None = None) -> Analysis:
+def analyse(ledger: Ledger, detectors: Iterable[str] | Mapping[str, Detector] | None = None) -> Analysis:
     """Findings, risks and rings as tables in the shared folder."""
     scratch = Scratch(ledger.tx.sparkSession, "analysis")
     kept = Ledger(scratch.put(ledger.accounts, "accounts"), scratch.put(ledger.tx, "tx"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,10 @@ from riskloom.sources.ledger import Ledger
 
 SCHEMA = "detector string, subject_type string, subject_ids array<string>, score double, evidence string, start_us long, end_us long, counterparties array<string>"
 
+Detector = Callable[[Ledger], DataFrame]
+
 #: A detector: its rows from a ledger. Those with ``members`` are about a subgraph, others about one account.
-DETECTORS: dict[str, Callable[[Ledger], DataFrame]] = {
+DETECTORS: dict[str, Detector] = {
     "structuring": lambda g: windows.structuring(g.tx),
     "circular": lambda g: cycles.circular(g.tx, g.accounts),
     "passthrough": lambda g: ranges.passthrough(g.tx),
@@ -28,7 +30,7 @@ DETECTORS: dict[str, Callable[[Ledger], DataFrame]] = {
 }
 
 
-def register(name: str, detector: Callable[[Ledger], DataFrame]) -> None:
+def register(name: str, detector: Detector) -> None:
     """Add a detector of one's own: rows with account_id or members, score and evidence columns."""
     DETECTORS[name] = detector
 
@@ -45,9 +47,11 @@ def as_findings(name: str, rows: DataFrame) -> DataFrame:
     )
 
 
-def find(ledger: Ledger, names: list[str] | None = None) -> DataFrame:
+def find(ledger: Ledger, detectors: Iterable[str] | Mapping[str, Detector] | None = None) -> DataFrame:
+    """By all registered detectors, by some of their names, or by detectors of one's own."""
+    chosen = detectors if isinstance(detectors, Mapping) else {n: DETECTORS[n] for n in detectors or DETECTORS}
     out = None
-    for name in names or DETECTORS:
-        rows = as_findings(name, DETECTORS[name](ledger))
+    for name, detector in chosen.items():
+        rows = as_findings(name, detector(ledger))
         out = rows if out is None else out.unionByName(rows)
     return out
