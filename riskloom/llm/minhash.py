@@ -269,7 +269,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def first_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of each class, all columns as given: the least by doc_id, then by the text's hash.
 
-    A document is an id and a text, so different texts under one id, or under none, are told apart.
+    A document is an id and a text, so different texts under one id, or under none, are told apart. Where
+    rows with other columns share both, the one with the least hash of all columns stays.
     Rows without a text are no one's duplicates and are all kept.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -278,8 +279,9 @@ def first_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     firsts = scratch.put(firsts.select(F.col("f.doc_id").alias("_kept"), F.col("f.hash").alias("_kept_hash")), "firsts")
     texts = docs.filter("text is not null")
     on = texts["doc_id"].cast("long").eqNullSafe(firsts["_kept"]) & (F.xxhash64(texts["text"]) == firsts["_kept_hash"])
-    kept = texts.join(firsts, on, "left_semi").dropDuplicates(["doc_id", "text"])  # a document given twice
-    return kept.union(docs.filter("text is null"))
+    kept = texts.join(firsts, on, "left_semi").select(F.struct("*").alias("row"))
+    kept = kept.groupBy(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("hash")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*").union(docs.filter("text is null"))
 
 
 def _classes(docs: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 Documents are leaves' content in a tree domain - language - source. A token
 budget goes down the tree by the weights of siblings. A node cannot take more
-than its supply times ``max_epochs``; what it leaves is shared among its siblings
+than the supply under it times ``max_epochs``, without what has a weight of 0; what it leaves is shared among its siblings
 by weight, and only what all siblings together cannot take is left to the level
 above. A leaf spends its budget on whole passes (epochs) over its documents and
 a prefix, by tokens, of the next pass, in an order seeded by pass and document.
@@ -57,17 +57,26 @@ def share(budget: float, weights: Sequence[float], limits: Sequence[float]) -> l
 def budgets(supply: Mapping[tuple[str, ...], int], weights: Sequence[Mapping[str, float]], budget: float, max_epochs: int) -> dict[tuple[str, ...], float]:
     """Tokens of each leaf. weights: for each level, by name; 1 for names that aren't there."""
 
+    def below(depth: int, leaves: list[tuple[str, ...]]) -> dict[str, list[tuple[str, ...]]]:
+        out: dict[str, list[tuple[str, ...]]] = {}
+        for leaf in leaves:
+            out.setdefault(leaf[depth], []).append(leaf)
+        return out
+
+    def limit(depth: int, leaves: list[tuple[str, ...]]) -> float:
+        """What the leaves can take: nothing of it is under a weight of 0."""
+        if depth == len(weights):
+            return float(max_epochs * sum(supply[x] for x in leaves))
+        return sum(limit(depth + 1, some) for name, some in below(depth, leaves).items() if weights[depth].get(name, 1.0) > 0)
+
     def spend(prefix: tuple[str, ...], leaves: list[tuple[str, ...]], amount: float) -> dict[tuple[str, ...], float]:
         depth = len(prefix)
         if depth == len(weights):
             return {prefix: amount}
-        below: dict[str, list[tuple[str, ...]]] = {}
-        for leaf in leaves:
-            below.setdefault(leaf[depth], []).append(leaf)
-        names = sorted(below)
-        limits = [float(max_epochs * sum(supply[x] for x in below[n])) for n in names]
-        parts = share(amount, [weights[depth].get(n, 1.0) for n in names], limits)
-        return {k: v for n, p in zip(names, parts, strict=True) for k, v in spend((*prefix, n), below[n], p).items()}
+        groups = below(depth, leaves)
+        names = sorted(groups)
+        parts = share(amount, [weights[depth].get(n, 1.0) for n in names], [limit(depth + 1, groups[n]) for n in names])
+        return {k: v for n, p in zip(names, parts, strict=True) for k, v in spend((*prefix, n), groups[n], p).items()}
 
     return spend((), list(supply), budget)
 
