@@ -44,7 +44,7 @@ def ranked(core_: DataFrame, ahead: int, scratch: Scratch) -> DataFrame:
     return up
 
 
-def circular(tx: DataFrame, accounts: DataFrame, least_c: int = 100_000, shortest: int = 3, longest: int = 5, span: int = SPAN) -> DataFrame:
+def circular(tx: DataFrame, accounts: DataFrame, least_c: int = 100_000, shortest: int = 3, longest: int = 5, span: int = SPAN, money: DataFrame | None = None) -> DataFrame:
     """Cycles of pairs that carry large transfers, proved by one transaction a hop.
 
     The first hop is its pair's first transaction; every later one is its pair's
@@ -57,10 +57,10 @@ def circular(tx: DataFrame, accounts: DataFrame, least_c: int = 100_000, shortes
     are paths that pass lower accounts only, and meet by (peak, start) and time. A way
     there is followed past an account only if a higher one can still be reached. So a hub
     is an end of paths and never inside of one that has no higher peak, and its payers
-    are not multiplied by its payees.
+    are not multiplied by its payees. money: windows.pairs of the transactions, if stored.
     """
     scratch = Scratch(tx.sparkSession, "cycles")
-    money = core(pairs(tx).filter((F.col("max_c") >= least_c) & (F.col("src") != F.col("dst"))), longest, scratch)
+    money = core((pairs(tx) if money is None else money).filter((F.col("max_c") >= least_c) & (F.col("src") != F.col("dst"))), longest, scratch)
     places = ranked(money, longest - 2, scratch)
     order = Window.partitionBy("src", "dst").orderBy("us", "tx_pos")
     hops = tx.select("src", "dst", "us", "tx_pos", "tx_id", "amount_c").join(money, ["src", "dst"])

@@ -99,14 +99,26 @@ def busiest_counterparties(events: DataFrame, span: int) -> DataFrame:
     before it and reach it. So each is an interval of starts, and the largest
     number of intervals over a point is a running sum of their ends: no window's
     counterparties are gathered.
+
+    Time is cut in strips of the span. Sums run along a strip of a hub, on top of what the
+    strips before it leave open, a row a strip. A counterparty's event before is in the same strip,
+    or the last one of the strip before, or too long ago to matter. So a busy hub, or a busy pair, is
+    spread over its strips.
     """
-    before = F.lag("us").over(Window.partitionBy("hub", "party").orderBy("us"))
-    spans = events.select("hub", "us", F.greatest(F.coalesce(before + 1, F.col("us") - span), F.col("us") - span).alias("lo")).filter("lo <= us")
+    strip = lambda at: F.floor(F.col(at) / span)
+    cut = events.select("hub", "party", "us").withColumn("strip", strip("us"))
+    last = cut.groupBy("hub", "party", (F.col("strip") + 1).alias("strip")).agg(F.max("us").alias("last"))
+    before = F.lag("us").over(Window.partitionBy("hub", "party", "strip").orderBy("us"))
+    cut = cut.withColumn("before", before).join(last, ["hub", "party", "strip"], "left")
+    lo = F.greatest(F.coalesce("before", "last") + 1, F.col("us") - span)  # the greatest skips nulls
+    spans = cut.select("hub", "us", lo.alias("lo")).filter("lo <= us")
     edge = lambda at, step, event: F.struct(at.alias("at"), F.lit(step).alias("step"), F.lit(event).alias("event"))
     edges = spans.select("hub", F.explode(F.array(edge(F.col("lo"), 1, False), edge(F.col("us"), 0, True), edge(F.col("us") + 1, -1, False))).alias("e")).select("hub", "e.*")
-    edges = edges.groupBy("hub", "at").agg(F.sum("step").alias("step"), F.max("event").alias("event"))
-    over = F.sum("step").over(Window.partitionBy("hub").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    starts = edges.withColumn("n", over).filter("event")
+    edges = edges.groupBy("hub", "at").agg(F.sum("step").alias("step"), F.max("event").alias("event")).withColumn("strip", strip("at"))
+    open_ = F.sum("step").over(Window.partitionBy("hub").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1))
+    carry = edges.groupBy("hub", "strip").agg(F.sum("step").alias("step")).select("hub", "strip", F.coalesce(open_, F.lit(0)).alias("carry"))
+    here = F.sum("step").over(Window.partitionBy("hub", "strip").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    starts = edges.withColumn("here", here).filter("event").join(carry, ["hub", "strip"]).withColumn("n", F.col("here") + F.col("carry"))
     return starts.groupBy("hub").agg(F.max(F.struct("n", (-F.col("at")).alias("m"))).alias("b")).select("hub", (-F.col("b.m")).alias("us"), F.col("b.n").alias("n"))
 
 

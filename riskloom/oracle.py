@@ -291,7 +291,7 @@ def measured(name: str, source: str) -> str:
 CTES += [
     measured("seed_measures", "(SELECT DISTINCT members, [detector] AS patterns FROM seeds)"),
     measured("ring_measures", "clusters"),
-    """rings AS (SELECT printf('DET_%03d', place) AS ring_id, * FROM (SELECT row_number() OVER (ORDER BY score DESC, members) AS place, * FROM ring_measures
+    """rings AS (SELECT printf('DET_%03d', place) AS ring_id, * FROM (SELECT row_number() OVER (ORDER BY score DESC, members, patterns) AS place, * FROM ring_measures
   WHERE len(members) >= 3 AND max_risk >= 0.5e0 AND score >= 0.45e0 AND volume_c >= 1500000))""",
     "member AS (SELECT ring_id, place, unnest(members) AS account_id FROM rings)",
     "ring_tx AS (SELECT ring_id, place, tx.* FROM rings JOIN tx ON list_contains(members, src) AND list_contains(members, dst))",
@@ -388,6 +388,10 @@ FINALS = {
   FROM edges e LEFT JOIN scored a ON e.src = a.account_id LEFT JOIN state sa ON e.src = sa.account_id LEFT JOIN scored b ON e.dst = b.account_id LEFT JOIN state sb ON e.dst = sb.account_id WHERE e.tx_id = 'T7'""",
     "auto_freeze": "SELECT * FROM state",
     "decided_status": "SELECT account_id, CASE WHEN k % 10 = 3 THEN 'active' WHEN k % 10 = 4 THEN 'blocked' ELSE state.status END AS status, k % 10 NOT IN (3, 4) AS auto FROM state JOIN acc USING (account_id)",
+    "decision_log": "SELECT account_id, CASE k % 10 WHEN 3 THEN 'active' WHEN 4 THEN 'blocked' WHEN 5 THEN 'frozen' ELSE state.status END AS status, k % 10 NOT IN (3, 4, 5) AS auto FROM state JOIN acc USING (account_id)",
+    "risk_order": "SELECT account_id, risk, row_number() OVER (ORDER BY risk DESC, account_id) AS place FROM risk",
+    "table_order": f"""SELECT 'rings' AS by, account_id, row_number() OVER (ORDER BY n DESC, {rnd("risk", 3)} DESC, account_id) AS place FROM scored JOIN (SELECT account_id, count(*) AS n FROM member GROUP BY 1) USING (account_id)
+  UNION ALL SELECT 'owner', account_id, row_number() OVER (ORDER BY owner_name DESC, account_id) FROM scored JOIN state USING (account_id) WHERE state.status <> 'active'""",
     "review_queue": f"""SELECT account_id, owner_name, account_type, kyc_risk, state.status, {rnd("risk", 3)} AS risk, coalesce((SELECT string_agg(DISTINCT detector, ',' ORDER BY detector) FROM hits h WHERE h.account_id = scored.account_id), '') AS patterns,
   least(10, (SELECT count(*) FROM hits h WHERE h.account_id = scored.account_id)) AS n_findings,
   printf('Risk %d%% ≥ freeze threshold 90%%', CAST(round(risk * 100) AS INTEGER)) AS summary, coalesce(findings, '') AS findings FROM scored JOIN state USING (account_id) LEFT JOIN near_hits USING (account_id) WHERE state.status <> 'active'""",
@@ -441,7 +445,7 @@ FINALS = {
 FULL = {
     "findings", "behaviour_points", "network_association", "account_risk", "ring_seeds", "seed_measures", "summary", "accounts_list", "ego_graph_1", "ego_graph_2", "ego_graph_2_capped", "ego_nodes",
     "suspicious_edges", "enriched_edges", "rings_list", "ring_accounts", "ring_transactions", "ring_findings", "ring_keys", "account_findings", "account_signals", "account_transactions", "transaction_detail",
-    "auto_freeze", "decided_status", "review_queue", "under_review", "evaluate", "account_profile", "compare_rings", "verdicts", "search", "risk_tiers", "signal_categories",
+    "auto_freeze", "decided_status", "decision_log", "risk_order", "table_order", "review_queue", "under_review", "evaluate", "account_profile", "compare_rings", "verdicts", "search", "risk_tiers", "signal_categories",
 }
 FULL_RINGS = FINALS["rings"].replace("members, ',') AS members", "members, ',') AS account_ids").replace("SELECT ring_id,", "SELECT ring_id, place,", 1).replace(", (SELECT count(*) FROM ring_tx t WHERE t.ring_id = rings.ring_id) AS n_tx", "")
 

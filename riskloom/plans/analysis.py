@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from riskloom.operators.windows import pairs
 from riskloom.plans.findings import Detector, find
 from riskloom.plans.rings import build_rings
 from riskloom.plans.score import score_accounts
@@ -26,7 +27,8 @@ def analyse(ledger: Ledger, detectors: Iterable[str] | Mapping[str, Detector] |
     """Findings, risks and rings as tables in the shared folder."""
     scratch = Scratch(ledger.tx.sparkSession, "analysis")
     kept = Ledger(scratch.put(ledger.accounts, "accounts"), scratch.put(ledger.tx, "tx"))
+    kept = replace(kept, pairs=scratch.put(pairs(kept.tx), "pairs"))
     findings = scratch.put(find(kept, detectors), "findings")
-    risk = scratch.put(score_accounts(findings, kept.accounts, kept.tx), "risk")
-    rings = scratch.put(build_rings(findings, risk, kept.tx), "rings")
+    risk = scratch.put(score_accounts(findings, kept.accounts, kept.tx, kept.pairs), "risk")
+    rings = scratch.put(build_rings(findings, risk, kept.tx, kept.pairs), "rings")
     return Analysis(kept, findings, risk, rings)

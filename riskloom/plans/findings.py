@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ Detector = Callable[[Ledger], DataFrame]
 #: A detector: its rows from a ledger. Those with ``members`` are about a subgraph, others about one account.
 DETECTORS: dict[str, Detector] = {
     "structuring": lambda g: windows.structuring(g.tx),
-    "circular": lambda g: cycles.circular(g.tx, g.accounts),
+    "circular": lambda g: cycles.circular(g.tx, g.accounts, money=g.pairs),
     "passthrough": lambda g: ranges.passthrough(g.tx),
     "fiat_to_crypto": lambda g: ranges.fiat_to_crypto(g.tx),
     "round_amounts": lambda g: windows.round_amounts(g.tx),
@@ -50,8 +53,7 @@ def as_findings(name: str, rows: DataFrame) -> DataFrame:
 def find(ledger: Ledger, detectors: Iterable[str] | Mapping[str, Detector] | None = None) -> DataFrame:
     """By all registered detectors, by some of their names, or by detectors of one's own."""
     chosen = detectors if isinstance(detectors, Mapping) else {n: DETECTORS[n] for n in detectors or DETECTORS}
-    out = None
-    for name, detector in chosen.items():
-        rows = as_findings(name, detector(ledger))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    # detectors that work in rounds run their jobs at once, beside each other
+    with ThreadPoolExecutor(4) as pool:
+        found = pool.map(inheritable_thread_target(ledger.tx.sparkSession)(lambda x: as_findings(x[0], x[1](ledger))), chosen.items())
+        return reduce(DataFrame.unionByName, found)

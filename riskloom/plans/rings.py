@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import at_most_one, r3
 from riskloom.operators.components import components
+from riskloom.operators.ordering import numbered
 from riskloom.operators.windows import pairs as directed_pairs
 from riskloom.scratch import Scratch
 
@@ -16,11 +17,11 @@ STRONG = ("structuring", "circular", "passthrough", "fan_in", "fan_out")
 SEED_FLOOR, EDGE_C, LEAST_VOLUME_C, LEAST_SCORE, LEAST_SIZE, FLAG = 0.3, 500_000, 1_500_000, 0.45, 3, 0.5
 
 
-def seeds(findings: DataFrame, tx: DataFrame) -> DataFrame:
-    """seed, detector, score, members: strong findings with a large transfer among their members."""
+def seeds(findings: DataFrame, money: DataFrame) -> DataFrame:
+    """seed, detector, score, members: strong findings with a large transfer among their members; money: as by windows.pairs."""
     strong = findings.filter(F.col("detector").isin(*STRONG)).filter((F.col("subject_type") == "subgraph") | (F.col("score") >= SEED_FLOOR))
     strong = strong.select("detector", "score", "subject_type", "subject_ids", "counterparties")
-    large = directed_pairs(tx).filter(F.col("total_c") >= EDGE_C).select("src", "dst")
+    large = money.filter(F.col("total_c") >= EDGE_C).select("src", "dst")
     near = large.union(large.select("dst", "src")).groupBy(F.col("src").alias("hub")).agg(F.collect_set("dst").alias("near"))
     listed = (F.col("subject_type") == "account") & F.coalesce(F.size("counterparties") > 0, F.lit(False))
     given = strong.filter((F.col("subject_type") == "subgraph") | listed)
@@ -65,7 +66,7 @@ def merged(found: DataFrame, scratch: Scratch) -> DataFrame:
     return rooted.groupBy("root").applyInPandas(lambda g: merge(g), "members array<string>, patterns array<string>")
 
 
-def measure(clusters: DataFrame, risk: DataFrame, tx: DataFrame) -> DataFrame:
+def measure(clusters: DataFrame, risk: DataFrame, money: DataFrame) -> DataFrame:
     """members, patterns, volume_c, max_risk, avg_risk, score of each cluster, before the filters."""
     clusters = clusters.withColumn("ring", F.sha2(F.concat_ws(",", F.concat_ws(";", "patterns"), "members"), 256)).dropDuplicates(["ring"])
     flat = clusters.select("ring", F.explode("members").alias("account_id"))
@@ -73,7 +74,7 @@ def measure(clusters: DataFrame, risk: DataFrame, tx: DataFrame) -> DataFrame:
     # risks have three digits: thousandths sum exactly in any order
     mille = F.round(F.coalesce("risk", F.lit(0.0)) * 1000).cast("long")
     risks = risky.groupBy("ring").agg(F.max(mille).alias("max"), F.sum(mille).alias("sum"), F.count("*").alias("n"))
-    total = directed_pairs(tx).select("src", "dst", "total_c")
+    total = money.select("src", "dst", "total_c")
     inside = flat.withColumnRenamed("account_id", "src").join(total, "src").join(flat.withColumnRenamed("account_id", "dst"), ["ring", "dst"])
     volume = inside.groupBy("ring").agg(F.sum("total_c").alias("volume_c"))
     out = clusters.join(risks, "ring").join(volume, "ring", "left").withColumn("volume_c", F.coalesce("volume_c", F.lit(0).cast("long")))
@@ -83,8 +84,11 @@ def measure(clusters: DataFrame, risk: DataFrame, tx: DataFrame) -> DataFrame:
     return out.select("ring", "members", "patterns", "volume_c", "max_risk", "avg_risk", r3(at_most_one(score)).alias("score"))
 
 
-def rank(measured: DataFrame, risk: DataFrame, tx: DataFrame) -> DataFrame:
-    """ring_id, place (its rank), account_ids, tx_ids, score, patterns, key_accounts, narrative of the rings that count."""
+def rank(measured: DataFrame, risk: DataFrame, tx: DataFrame, scratch: Scratch) -> DataFrame:
+    """ring_id, place (its rank), account_ids, tx_ids, score, patterns, key_accounts, narrative of the rings that count.
+
+    By falling score, then by members and patterns.
+    """
     good = measured.filter((F.size("members") >= LEAST_SIZE) & (F.col("max_risk") >= FLAG) & (F.col("score") >= LEAST_SCORE) & (F.col("volume_c") >= LEAST_VOLUME_C))
     flat = good.select("ring", F.explode("members").alias("account_id")).join(risk.select("account_id", "risk"), "account_id", "left")
     key = F.array_sort(F.collect_list(F.struct((-F.coalesce("risk", F.lit(0.0))).alias("m"), "account_id")))
@@ -92,16 +96,19 @@ def rank(measured: DataFrame, risk: DataFrame, tx: DataFrame) -> DataFrame:
     member = flat.select("ring", "account_id")
     inner = tx.select("src", "dst", "tx_id", "tx_pos").join(member.withColumnRenamed("account_id", "src"), "src").join(member.withColumnRenamed("account_id", "dst"), ["ring", "dst"])
     ids = inner.groupBy("ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", "tx_pos", "tx_id"))), lambda x: x["tx_id"]).alias("tx_ids"))
-    place = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("members")[0], "ring"))  # rings, not accounts
-    out = good.join(keys, "ring").join(ids, "ring", "left").withColumn("place", place)
+    slim = good.select("ring", "score", "members", "patterns")
+    places = numbered(slim, [F.desc("score"), F.col("members"), F.col("patterns")], scratch).select("ring", "place")
+    out = good.join(keys, "ring").join(ids, "ring", "left").join(places, "ring")
     return out.select(
-        F.format_string("DET_%03d", "place").alias("ring_id"), F.col("place").cast("long").alias("place"), F.col("members").alias("account_ids"),
+        F.format_string("DET_%03d", "place").alias("ring_id"), "place", F.col("members").alias("account_ids"),
         F.coalesce("tx_ids", F.array().cast("array<string>")).alias("tx_ids"), "score", "patterns", "key_accounts", F.lit(None).cast("string").alias("narrative"),
     )
 
 
-def build_rings(findings: DataFrame, risk: DataFrame, tx: DataFrame) -> DataFrame:
+def build_rings(findings: DataFrame, risk: DataFrame, tx: DataFrame, money: DataFrame | None = None) -> DataFrame:
+    """money: windows.pairs of the transactions, if stored."""
     scratch = Scratch(tx.sparkSession, "rings")
-    found = scratch.put(seeds(findings, tx), "seeds")
+    money = scratch.put(directed_pairs(tx), "pairs") if money is None else money
+    found = scratch.put(seeds(findings, money), "seeds")
     clusters = scratch.put(merged(found, scratch), "clusters")
-    return rank(scratch.put(measure(clusters, risk, tx), "measured"), risk, tx)
+    return rank(scratch.put(measure(clusters, risk, money), "measured"), risk, tx, scratch)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import at_most_one, legit_profile, r2, r3
 from riskloom.operators.ranges import DAY
-from riskloom.operators.windows import endpoints
+from riskloom.operators.windows import endpoints, pairs
+from riskloom.scratch import Scratch
 
 # Weights, thresholds and reference sets.
 WEIGHTS = {
@@ -54,11 +55,11 @@ def screening(accounts: DataFrame) -> DataFrame:
     return accounts.select("account_id", F.explode(hits).alias("h")).select("account_id", "h.*").filter("points is not null")
 
 
-def association(tx: DataFrame, base: DataFrame, accounts: DataFrame) -> DataFrame:
-    """account_id, association: share of value with risky counterparties times their mean risk."""
-    pairs = tx.groupBy("src", "dst").agg(F.sum("amount_c").alias("c"))
+def association(money: DataFrame, base: DataFrame, accounts: DataFrame) -> DataFrame:
+    """account_id, association: share of value with risky counterparties times their mean risk; money: as by windows.pairs."""
+    paid = money.select("src", "dst", F.col("total_c").alias("c"))
     # a transfer to oneself makes one its own counterparty, with the value of both directions
-    both = pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "c").union(pairs.select("dst", "src", "c"))
+    both = paid.select(F.col("src").alias("a"), F.col("dst").alias("b"), "c").union(paid.select("dst", "src", "c"))
     sums = both.groupBy("a", "b").agg(F.sum("c").alias("w")).join(base.select(F.col("account_id").alias("b"), "base"), "b", "left")
     risky = F.col("base") >= FLAG
     per = sums.groupBy("a").agg(
@@ -139,12 +140,16 @@ def risk_curve(points: Column, soft: Column) -> Column:
     return r3(at_most_one(F.when(points >= gate, flagged).otherwise(0.49 * (1.0 - F.exp(-evidence / 0.8)))))
 
 
-def score_accounts(findings: DataFrame, accounts: DataFrame, tx: DataFrame, keep: int = 12) -> DataFrame:
-    """account_id, risk, top_signals (detector, score: the strongest of each, highest first)."""
-    acted = behaviour(findings, accounts)
+def score_accounts(findings: DataFrame, accounts: DataFrame, tx: DataFrame, money: DataFrame | None = None, keep: int = 12) -> DataFrame:
+    """account_id, risk, top_signals (detector, score: the strongest of each, highest first).
+
+    money: windows.pairs of the transactions, if stored. What is read twice is written once.
+    """
+    scratch = Scratch(tx.sparkSession, "score")
+    acted = scratch.put(behaviour(findings, accounts), "acted")
     hits = screening(accounts)
-    near = association(tx, acted, accounts)
-    signals = profile_signals(accounts, tx)
+    near = scratch.put(association(pairs(tx) if money is None else money, acted, accounts), "near")
+    signals = scratch.put(profile_signals(accounts, tx), "signals")
     screened = hits.groupBy("account_id").agg(F.sum("points").alias("screened"))
     parts = [acted.select("account_id", "points"), screened, near, profile_raw(signals, accounts)]
     wide = reduce(lambda a, b: a.join(b, "account_id", "full"), parts)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import HOUR
 from riskloom.operators import communities, cycles, linkage, paths, ranges, windows
+from riskloom.operators.ordering import numbered
 from riskloom.plans import findings, rings, score, views
 from riskloom.plans.analysis import Analysis, analyse
 from riskloom.plans.evaluate import evaluate
 from riskloom.scratch import Scratch
+from riskloom.sources.decisions import DecisionLog
 from riskloom.sources.ledger import Ledger, from_tables
 from riskloom.streaming.bursts import replay
 
@@ -82,8 +84,8 @@ def shown_risk(a: Analysis) -> DataFrame:
 
 
 def seed_measures(a: Analysis) -> DataFrame:
-    seeds = rings.seeds(a.findings, a.ledger.tx).select("members", F.array("detector").alias("patterns")).distinct()
-    return rings.measure(seeds, a.account_risk, a.ledger.tx).drop("ring")
+    seeds = rings.seeds(a.findings, a.ledger.pairs).select("members", F.array("detector").alias("patterns")).distinct()
+    return rings.measure(seeds, a.account_risk, a.ledger.pairs).drop("ring")
 
 
 def decisions(a: Analysis) -> DataFrame:
@@ -94,6 +96,33 @@ def decisions(a: Analysis) -> DataFrame:
     return late.union(rows.select(F.lit(1), "account_id", F.lit("freeze")))
 
 
+def logged(a: Analysis) -> DataFrame:
+    """Statuses by a log of two batches, the later one with equal and earlier times too, and an older ledger's decisions."""
+    log = DecisionLog(a.ledger.tx.sparkSession, Scratch(a.ledger.tx.sparkSession, "log").path("decisions"))
+    k = F.substring("account_id", 2, 20).cast("long") % 10
+    rows = a.ledger.accounts.select("account_id", k.alias("k"))
+    log.append(rows.filter("k in (1, 2)").select(F.lit(9).alias("at"), "account_id", F.lit("ban").alias("action")), "before")
+    log.append(rows.filter("k in (3, 4, 5)").select(F.lit(7).alias("at"), "account_id", F.lit("freeze").alias("action")), "now")
+    log.append(rows.filter("k in (3, 4)").select((F.col("k") + 3).alias("at"), "account_id", F.when(F.col("k") == 3, "clear").otherwise("block").alias("action")), "now")
+    log = log.compact(Scratch(a.ledger.tx.sparkSession, "log").path("compact"))
+    return views.statuses(a, log.last("now"))
+
+
+def risk_order(a: Analysis) -> DataFrame:
+    """The order in which risks are reported."""
+    return numbered(a.account_risk.select("account_id", "risk"), [F.desc("risk"), F.col("account_id")], Scratch(a.ledger.tx.sparkSession, "order"))
+
+
+def table_order(a: Analysis) -> DataFrame:
+    """The accounts' table by rings, then risk, and under review alone by owner."""
+    scratch = Scratch(a.ledger.tx.sparkSession, "order")
+    status = views.statuses(a).select("account_id", "status")
+    rows = views.accounts_list(a).drop("status").join(status, "account_id").select("account_id", "owner_name", "status", "risk", F.size("rings").cast("long").alias("n_rings"))
+    every = numbered(rows.filter("n_rings > 0"), [F.desc("n_rings"), F.desc("risk"), F.col("account_id")], scratch).select(F.lit("rings").alias("by"), "account_id", "place")
+    held = numbered(rows.filter("status <> 'active'"), [F.desc("owner_name"), F.col("account_id")], scratch)
+    return every.union(held.select(F.lit("owner"), "account_id", "place"))
+
+
 def evaluation(a: Analysis) -> DataFrame:
     """Against labels by rule: every seventh account a mule, each with its neighbour a ring."""
     k = F.substring("account_id", 2, 20).cast("long")
@@ -154,11 +183,11 @@ QUERIES: dict[str, Query] = {
     "findings": on_analysis(lambda a: a.findings.select("detector", "subject_type", "subject_ids", "score", *window(), "counterparties")),
     "behaviour_points": on_analysis(lambda a: score.behaviour(a.findings, a.ledger.accounts)),
     "screening_points": on_ledger(lambda g: score.screening(g.accounts)),
-    "network_association": on_analysis(lambda a: score.association(a.ledger.tx, score.behaviour(a.findings, a.ledger.accounts), a.ledger.accounts)),
+    "network_association": on_analysis(lambda a: score.association(a.ledger.pairs, score.behaviour(a.findings, a.ledger.accounts), a.ledger.accounts)),
     "profile_signals": on_ledger(lambda g: score.profile_signals(g.accounts, g.tx)),
     "profile_raw": on_ledger(lambda g: score.profile_raw(score.profile_signals(g.accounts, g.tx), g.accounts)),
     "account_risk": on_analysis(shown_risk),
-    "ring_seeds": on_analysis(lambda a: rings.seeds(a.findings, a.ledger.tx).drop("seed")),
+    "ring_seeds": on_analysis(lambda a: rings.seeds(a.findings, a.ledger.pairs).drop("seed")),
     "seed_measures": on_analysis(seed_measures),
     "rings": on_analysis(lambda a: a.rings.select("ring_id", F.col("account_ids").alias("members"), "patterns", "score", "key_accounts", "tx_ids", F.size("tx_ids").cast("long").alias("n_tx"))),
     "summary": on_analysis(views.summary),
@@ -180,6 +209,9 @@ QUERIES: dict[str, Query] = {
     "transaction_detail": on_analysis(lambda a: views.transaction_detail(a, a.ledger.tx.filter("tx_id = 'T7'"))),
     "auto_freeze": on_analysis(lambda a: views.statuses(a).drop("auto")),
     "decided_status": on_analysis(lambda a: views.statuses(a, decisions(a))),
+    "decision_log": on_analysis(logged),
+    "risk_order": on_analysis(risk_order),
+    "table_order": on_analysis(table_order),
     "review_queue": on_analysis(lambda a: views.review_queue(a).select("account_id", "owner_name", "account_type", "kyc_risk", "status", "risk", "summary", "patterns", "n_findings", shown_findings())),
     "under_review": on_analysis(views.under_review),
     "evaluate": on_analysis(evaluation),

@@ -7,23 +7,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators.ordering import numbered
 from riskloom.schema import ACCOUNT, TRANSACTION, conform
+from riskloom.scratch import Scratch
 
 
 @dataclass(frozen=True)
 class Ledger:
     accounts: DataFrame
     tx: DataFrame
+    #: windows.pairs of the transactions, where they are stored.
+    pairs: DataFrame | None = None
 
 
 def of(accounts: DataFrame, tx: DataFrame) -> Ledger:
-    """From frames with ISO times and amounts in euros, or with us and amount_c."""
+    """From frames with ISO times and amounts in euros, or with us and amount_c.
+
+    Without tx_pos, transactions are numbered by time and tx_id, however the files are split.
+    """
     if "us" not in tx.columns:
         tx = tx.withColumn("us", F.unix_micros(F.to_timestamp("timestamp")))
     if "amount_c" not in tx.columns:
         tx = tx.withColumn("amount_c", F.round(F.col("amount") * 100).cast("long"))
     if "tx_pos" not in tx.columns:
-        tx = tx.withColumn("tx_pos", F.monotonically_increasing_id())
+        tx = numbered(tx, [F.col("us"), F.col("tx_id")], Scratch(tx.sparkSession, "ledger")).withColumn("tx_pos", F.col("place") - 1).drop("place")
     return Ledger(conform(accounts, ACCOUNT), conform(tx, TRANSACTION))
 
 
@@ -39,6 +46,18 @@ def read_parquet(spark: SparkSession, path: str) -> Ledger:
     return of(spark.read.parquet(f"{path}/accounts"), spark.read.parquet(f"{path}/transactions"))
 
 
+def read_lines(spark: SparkSession, path: str) -> Ledger:
+    """Line-delimited folders as write_json writes them, read by as many tasks as they have splits.
+
+    Rows may have times and amounts as in read_json instead of us and amount_c.
+    """
+    kinds = lambda columns, more: ", ".join([f"{n} {t}" for n, t, _ in columns] + more)
+    accounts = spark.read.schema(kinds(ACCOUNT, [])).json(f"{path}/accounts")
+    tx = spark.read.schema(kinds(TRANSACTION, ["timestamp string", "amount double"])).json(f"{path}/transactions")
+    tx = tx.withColumn("us", F.coalesce("us", F.unix_micros(F.to_timestamp("timestamp")))).withColumn("amount_c", F.coalesce("amount_c", F.round(F.col("amount") * 100).cast("long")))
+    return of(accounts, tx.drop("tx_pos") if tx.filter("tx_pos is null").limit(1).count() else tx)
+
+
 def write_parquet(ledger: Ledger, path: str) -> None:
     ledger.accounts.write.mode("overwrite").parquet(f"{path}/accounts")
     ledger.tx.write.mode("overwrite").parquet(f"{path}/transactions")
