@@ -136,7 +136,7 @@ def fit_whitening(x: DataFrame, d: int, k: int, scratch: Scratch, oversample: in
 
 def _deviations(x: np.ndarray, n: int, sums: tuple[int, ...]) -> list[int | None]:
     """Exact sums over dimensions of (n x - S)^2."""
-    most = n * int(np.abs(x).max(initial=0)) + max(map(abs, sums))
+    most = n * max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0)))) + max(map(abs, sums))
     if most * most * x.shape[1] <= LONG:
         return ((n * x - np.array(sums, np.int64)) ** 2).sum(axis=1).tolist()
     exact = ((n * x.astype(object) - np.array(sums, object)) ** 2).sum(axis=1)
