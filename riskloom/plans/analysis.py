@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from riskloom.operators.adjacency import touching
 from riskloom.operators.windows import pairs
 from riskloom.plans.findings import Detector, find
 from riskloom.plans.rings import build_rings
@@ -21,6 +22,8 @@ class Analysis:
     findings: DataFrame
     account_risk: DataFrame
     rings: DataFrame
+    #: Transfers by the accounts they touch, for views of one account.
+    touching: DataFrame | None = None
 
 
 def analyse(ledger: Ledger, detectors: Iterable[str] | Mapping[str, Detector] | None = None) -> Analysis:
@@ -31,4 +34,4 @@ def analyse(ledger: Ledger, detectors: Iterable[str] | Mapping[str, Detector] |
     findings = scratch.put(find(kept, detectors), "findings")
     risk = scratch.put(score_accounts(findings, kept.accounts, kept.tx, kept.pairs), "risk")
     rings = scratch.put(build_rings(findings, risk, kept.tx, kept.pairs), "rings")
-    return Analysis(kept, findings, risk, rings)
+    return Analysis(kept, findings, risk, rings, touching(kept.tx, scratch))
