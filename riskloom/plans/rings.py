@@ -15,6 +15,8 @@ from riskloom.scratch import Scratch
 # Fixed values.
 STRONG = ("structuring", "circular", "passthrough", "fan_in", "fan_out")
 SEED_FLOOR, EDGE_C, LEAST_VOLUME_C, LEAST_SCORE, LEAST_SIZE, FLAG = 0.3, 500_000, 1_500_000, 0.45, 3, 0.5
+#: Shared accounts of a group of seeds up to which its pairs of them are looked at.
+PAIRS = 48
 
 
 def seeds(findings: DataFrame, money: DataFrame) -> DataFrame:
@@ -51,19 +53,51 @@ def merge(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"members": [sorted(a) for a, _ in clusters], "patterns": [sorted(p) for _, p in clusters]})
 
 
+def apart(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """seed, root: seeds of different roots never meet in one cluster, whatever the order.
+
+    Groups with two common accounts are joined, and their accounts put together, until no two
+    groups have two in common. Each cluster of a fold stays within a group: it starts as one
+    seed, and what it takes in shares two accounts with it, so with its group. So a chain
+    of seeds that share one account each falls apart, however long it is.
+
+    Only accounts that several groups hold count. A group with ``PAIRS`` of them at most is
+    found by its pairs of accounts; one with more is joined to all that share one account,
+    which may join too much but parts nothing that belongs together.
+    """
+    home = scratch.put(found.select("seed", F.col("seed").alias("root")), "home")
+    member = scratch.put(found.select(F.col("seed").alias("root"), F.explode("members").alias("account")).distinct(), "member")
+    while True:
+        several = member.groupBy("account").agg(F.count("*").alias("n")).filter("n > 1").select("account")
+        held = scratch.put(member.join(several, "account"), "held")
+        size = held.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
+        few, many = size.filter(F.col("size") <= PAIRS).select("root"), size.filter(F.col("size") > PAIRS).select("root")
+        own = held.join(few, "root")
+        both = own.select("root", F.col("account").alias("x")).join(own.select("root", F.col("account").alias("y")), "root").filter("x < y")
+        first = both.groupBy("x", "y").agg(F.min("root").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        links = both.join(first, ["x", "y"]).select(F.col("root").alias("a"), F.col("first").alias("b"))
+        wide = held.join(many, "root").groupBy("account").agg(F.min("root").alias("b"))
+        links = scratch.put(links.union(held.join(wide, "account").select("root", "b")).filter("a <> b").distinct(), "links")
+        if not links.limit(1).count():
+            return home
+        roots = components(links, scratch).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+        to = F.coalesce("joined", "root").alias("root")
+        home = scratch.put(home.join(roots, "root", "left").select("seed", to), "home")
+        member = scratch.put(member.join(roots, "root", "left").select(to, "account").distinct(), "member")
+
+
 def merged(found: DataFrame, scratch: Scratch) -> DataFrame:
     """members, patterns of merged seeds.
 
-    The order of merging counts, so it is a fold; but seeds without a common
-    account, at however many removes, never meet. Each component of seeds is
-    folded on its own.
+    The order of merging counts, so it is a fold; but only of seeds that can meet at
+    all. A seed that meets no other is a cluster as it is.
     """
-    flat = found.select("seed", F.explode("members").alias("account"))
-    star = flat.groupBy("account").agg(F.min("seed").alias("first"))
-    links = flat.join(star, "account").select(F.col("seed").alias("a"), F.col("first").alias("b"))
-    roots = components(links, scratch)
-    rooted = found.join(roots, found["seed"] == roots["node"], "left").withColumn("root", F.coalesce("root", "seed"))
-    return rooted.groupBy("root").applyInPandas(lambda g: merge(g), "members array<string>, patterns array<string>")
+    home = apart(found, scratch)
+    alone = home.groupBy("root").agg(F.count("*").alias("n")).filter("n = 1").select("root")
+    rooted = scratch.put(found.join(home, "seed"), "rooted")
+    single = rooted.join(alone, "root", "left_semi").select("members", F.array("detector").alias("patterns"))
+    several = rooted.join(alone, "root", "left_anti").groupBy("root").applyInPandas(lambda g: merge(g), "members array<string>, patterns array<string>")
+    return single.union(several)
 
 
 def measure(clusters: DataFrame, risk: DataFrame, money: DataFrame) -> DataFrame:
