@@ -58,6 +58,8 @@ MEMO = 300_000
 #: Texts and bytes of items of a block in the larger groups; those with SMALL texts pair up directly.
 BLOCK, BLOCK_BYTES, SMALL = 512, 32 << 20, 16
 _U = np.uint64
+#: Counters by which items are ordered, a power of two.
+COUNTS = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -365,15 +367,36 @@ def _pairs(member: DataFrame) -> DataFrame:
 
 
 def _rare_groups(items: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
-    """bucket, key, root, n, bytes: texts that hold a common item among their rarest, and the size of their group."""
-    flat = items.select("key", F.size("items").alias("size"), F.explode("items").alias("item"))
-    often = flat.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1")
-    # an item that no other text holds is rarer than all others, so it takes a place but meets no one
-    shared = flat.join(often, "item").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("s"))
-    places = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("s"))
-    rare = shared.withColumn("places", places.cast("int")).filter("places > 0")
-    rare = rare.select("key", (F.col("size") * 8).alias("own"), F.explode(F.slice("s", F.lit(1), F.col("places"))).alias("x")).join(member, "key")
-    rare = rare.select(F.col("x.item").alias("bucket"), "key", "root", "own")
+    """bucket, key, root, n, bytes: texts that hold a common item among their rarest, and the size of their group.
+
+    Any order of items will do, as long as it is the same for all texts, so items are ordered by counts of
+    hashes of them, whose number is fixed, and no text's other items leave their task.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTS, np.int64)
+        for b in batches:
+            total += np.bincount(b.column("items").flatten().to_numpy() & (COUNTS - 1), minlength=COUNTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    often = np.zeros(COUNTS, np.int64)
+    for r in items.mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # COUNTS rows at most
+        often[r["at"]] = r["n"]
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, keys = b.column("items"), b.column("key").to_numpy()
+            out = []
+            for x in sets:
+                x = x.values.to_numpy()
+                places = len(x) - int(np.ceil(threshold * len(x) - 1e-9)) + 1
+                out.append(x[np.lexsort((x, often[x & (COUNTS - 1)]))[:places]])
+            size = np.array([len(x) for x in out])
+            own = np.array([8 * len(x) for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, size)), pa.array(np.repeat(own, size)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], ["key", "own", "bucket"])
+
+    rare = items.mapInArrow(rarest, "key long, own long, bucket long").join(member, "key").select("bucket", "key", "root", "own")
     held = (F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     about = rare.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("own").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"), *held)
     # one of the items that the same texts hold will do
