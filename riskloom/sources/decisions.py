@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from riskloom.operators.ordering import numbered
 from riskloom.plans.views import ACTIONS
@@ -27,12 +26,11 @@ class DecisionLog:
         self.spark, self.path = spark, path
 
     def rows(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(COLUMNS).parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(conf).exists(folder):
             return self.spark.createDataFrame([], COLUMNS)
+        return self.spark.read.schema(COLUMNS).parquet(self.path)
 
     def append(self, batch: DataFrame, ledger: str) -> None:
         """batch: at, account_id, action; unknown actions are an error, and nothing is written then."""
@@ -49,8 +47,8 @@ class DecisionLog:
         best = rows.groupBy("account_id").agg(F.max(F.struct("seq", "action")).alias("d"))
         return best.select(F.col("d.seq").alias("at"), "account_id", F.col("d.action").alias("action"))
 
-    def compact(self, path: str) -> "DecisionLog":
+    def compact(self, path: str) -> DecisionLog:
         """A log in a new folder with the last decisions of every ledger, under their places."""
         best = self.rows().groupBy("ledger", "account_id").agg(F.max(F.struct("seq", "at", "action")).alias("d"))
-        best.select("d.seq", "d.at", "account_id", "d.action", "ledger").select("seq", "at", "account_id", "action", "ledger").write.parquet(path)
+        best.select("d.seq", "d.at", "account_id", "d.action", "ledger").write.parquet(path)
         return DecisionLog(self.spark, path)
