@@ -386,7 +386,7 @@ def _rare_groups(items: DataFrame, member: DataFrame, threshold: float) -> DataF
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, keys = b.column("items"), b.column("key").to_numpy()
+            sets, keys, roots = b.column("items"), b.column("key").to_numpy(), b.column("root").to_numpy()
             out = []
             for x in sets:
                 x = x.values.to_numpy()
@@ -394,9 +394,11 @@ def _rare_groups(items: DataFrame, member: DataFrame, threshold: float) -> DataF
                 out.append(x[np.lexsort((x, often[x & (COUNTS - 1)]))[:places]])
             size = np.array([len(x) for x in out])
             own = np.array([8 * len(x) for x in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, size)), pa.array(np.repeat(own, size)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], ["key", "own", "bucket"])
+            bucket = np.concatenate(out) if out else np.zeros(0, np.int64)
+            columns = (bucket, np.repeat(keys, size.astype(int)), np.repeat(roots, size.astype(int)), np.repeat(own, size.astype(int)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "key", "root", "own"])
 
-    rare = items.mapInArrow(rarest, "key long, own long, bucket long").join(member, "key").select("bucket", "key", "root", "own")
+    rare = items.join(member, "key").select("key", "root", "items").mapInArrow(rarest, "bucket long, key long, root long, own long")
     held = (F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     about = rare.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("own").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"), *held)
     # one of the items that the same texts hold will do
