@@ -39,10 +39,9 @@ besides ``doc_id`` and ``text`` are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -54,7 +53,8 @@ from riskloom.scratch import Scratch
 
 SHINGLE, BANDS, ROWS = 5, 28, 5
 PLACES = BANDS * ROWS
-MEMO = 300_000
+#: Words whose hashes a task remembers.
+MEMO = 100_000
 #: Texts and bytes of items of a block in the larger groups; those with SMALL texts pair up directly.
 BLOCK, BLOCK_BYTES, SMALL = 512, 32 << 20, 16
 _U = np.uint64
@@ -232,13 +232,16 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def across(threshold: float):
     """Links between two blocks of a group: those that join components, as few as do."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def sets(block: pa.Table) -> list[np.ndarray]:
+        return [x.values.to_numpy() for chunk in block.column("items").chunks for x in chunk]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            x, y = (list(f["items"]) for f in (left, right))
+        if left.num_rows and right.num_rows:
+            x, y = sets(left), sets(right)
             both = overlaps(x, y).astype(np.float64)
             total = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])
-            p, q = left["root"].to_numpy(), right["root"].to_numpy()
+            (key_p, p), (key_q, q) = ([t.column(c).to_numpy() for c in ("key", "root")] for t in (left, right))
             i, j = np.nonzero((both / np.maximum(total - both, 1) >= threshold) & (p[:, None] != q))
             joined: dict[int, int] = {}
 
@@ -251,8 +254,8 @@ def across(threshold: float):
                 u, v = root(p[a]), root(q[b])
                 if u != v:
                     joined[max(u, v)] = min(u, v)
-                    pairs.append(tuple(sorted((left["key"].iat[a], right["key"].iat[b]))))
-        return pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, dtype="int64")
+                    pairs.append(tuple(sorted((key_p[a], key_q[b]))))
+        return pa.table({c: pa.array([x[k] for x in pairs], pa.int64()) for k, c in enumerate("ab")})
 
     return run
 
@@ -342,7 +345,7 @@ def _classes(docs: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataF
         member = scratch.put(member.join(size, "bucket"), "left-over")
         small, large = _pairs(member.filter(F.col("n") <= SMALL)), member.filter(F.col("n") > SMALL).select("key", "root").distinct()
         items = scratch.put(own.join(large, "key").select("key", "text").mapInArrow(listed, "key long, items array<long>"), "items")
-        groups = scratch.put(_rare_groups(items, large, threshold), "rare")
+        groups = scratch.put(_rare_groups(items, large, threshold, lambda rows: scratch.put(rows, "rarest")), "rare")
         found = _block_links(groups.filter(F.col("n") > SMALL), items, threshold, scratch)
         pairs = scratch.put(small.union(_pairs(groups.filter(F.col("n") <= SMALL))).distinct(), "pairs")
         links = links.union(checked(pairs, "pair-links")).union(scratch.put(found.distinct(), "block-links"))
@@ -366,9 +369,11 @@ def _pairs(member: DataFrame) -> DataFrame:
     return pairs.filter("x.root <> y.root").select(F.col("y.key").alias("a"), F.col("x.key").alias("b"))
 
 
-def _rare_groups(items: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
+def _rare_groups(items: DataFrame, member: DataFrame, threshold: float, put: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """bucket, key, root, n, bytes: texts that hold a common item among their rarest, and the size of their group.
 
+    put cuts lineage before the rarest items are read twice.
+
     Any order of items will do, as long as it is the same for all texts, so items are ordered by counts of
     hashes of them, whose number is fixed, and no text's other items leave their task.
     """
@@ -398,7 +403,7 @@ def _rare_groups(items: DataFrame, member: DataFrame, threshold: float) -> DataF
             columns = (bucket, np.repeat(keys, size.astype(int)), np.repeat(roots, size.astype(int)), np.repeat(own, size.astype(int)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "key", "root", "own"])
 
-    rare = items.join(member, "key").select("key", "root", "items").mapInArrow(rarest, "bucket long, key long, root long, own long")
+    rare = put(items.join(member, "key").select("key", "root", "items").mapInArrow(rarest, "bucket long, key long, root long, own long"))
     held = (F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     about = rare.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("own").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"), *held)
     # one of the items that the same texts hold will do
@@ -413,4 +418,4 @@ def _block_links(member: DataFrame, items: DataFrame, threshold: float, scratch:
     big = scratch.put(big, "blocks")
     left = big.select("bucket", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), "key", "root", "items")
     right = big.select("bucket", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "key", "root", "items")
-    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(across(threshold), "a long, b long")
+    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInArrow(across(threshold), "a long, b long")
