@@ -237,7 +237,9 @@ def across(threshold: float):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs: list[tuple[int, int]] = []
-        if left.num_rows and right.num_rows:
+        if not right.num_rows:  # a block and itself
+            right = left
+        if left.num_rows:
             x, y = sets(left), sets(right)
             both = overlaps(x, y).astype(np.float64)
             total = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])
@@ -414,8 +416,11 @@ def _rare_groups(items: DataFrame, member: DataFrame, threshold: float, put: Cal
 def _block_links(member: DataFrame, items: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Links across components in the larger groups, block by block, by the multisets themselves."""
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    big = member.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("key"), F.col("blocks"))).join(items, "key")
-    big = scratch.put(big, "blocks")
-    left = big.select("bucket", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), "key", "root", "items")
-    right = big.select("bucket", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "key", "root", "items")
+    big = member.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("key"), F.col("blocks")))
+    big = scratch.put(big.drop("n", "bytes"), "blocks")
+    # items are joined last, and a block meets itself without a second copy
+    left = big.select("*", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"))
+    right = big.filter("own > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("own").alias("j"))
+    # columns of their own for each side, as both come from the same tables
+    left, right = (side.join(items, "key").select(*(F.col(c).alias(c) for c in ("bucket", "i", "j", "key", "root", "items"))) for side in (left, right))
     return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInArrow(across(threshold), "a long, b long")

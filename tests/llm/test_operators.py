@@ -125,7 +125,7 @@ def test_near_duplicates_of_common_boilerplate(spark):
     assert Counter(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())) == want
 
 
-def test_links_of_rare_items(spark):
+def test_links_of_rare_items(spark, monkeypatch):
     """Rare items alone find every link, in pairs and in blocks."""
     r = random.Random(11)
     common, rows = words(r, 40, 10**6).split(), []
@@ -146,6 +146,10 @@ def test_links_of_rare_items(spark):
     found = {tuple(x) for x in minhash._block_links(groups, items, 0.8, Scratch(spark, "t")).collect()}
     join = lambda links: {frozenset(c) for c in joined(len(rows), links)}
     assert found <= want and join(found) == join(want)
+    # and so with groups of several blocks
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    found = {tuple(x) for x in minhash._block_links(groups, items, 0.8, Scratch(spark, "t")).collect()}
+    assert found <= want and join(found) == join(want)
 
 
 def joined(n, links):
