@@ -9,7 +9,9 @@ are not addressed. A shard's name holds the attempt that wrote it: a lost task
 writes new shards, and only those of the attempt whose rows count are addressed.
 
 Metadata columns are read from the stored file's header by a range read of
-``HEADER`` bytes; payload columns by a range read of the member.
+``HEADER`` bytes; payload columns by a range read of the member. What is read must
+have the digest that it is addressed by, or the read fails. Besides the shards only
+the rows with their addresses are stored; columns go from the read to the rows.
 
 Results for odd input: a null text is an empty payload of 64 zero bytes; repeated
 rows share an address and each get a row; an empty table gives an empty result.
@@ -153,7 +155,7 @@ def store(docs: DataFrame, root: str) -> DataFrame:
 
 
 def read_columns(root: str):
-    """Columns of stored members: rows come by shard and offset."""
+    """Columns of stored members: rows come by shard and offset. digest is that of what was read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_store(root)
@@ -168,9 +170,10 @@ def read_columns(root: str):
                 width, height, bits = png_header(source.read_at(HEADER, offset))
                 data = source.read_at(length, offset)
                 payload = from_png(data)
-                out.append(
-                    (digest, width, height, bits, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload))
-                )
+                found = hashlib.sha256(payload).digest()
+                if found != digest:
+                    raise ValueError(f"{shard} holds another content at {offset}")
+                out.append((found, width, height, bits, len(payload), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).digest(), feature(payload), shard, offset, length))
             yield pd.DataFrame(out, columns=COLUMNS)
         if source:
             source.close()
@@ -178,18 +181,22 @@ def read_columns(root: str):
     return run
 
 
-COLUMNS = ["digest", "width", "height", "sample_bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-READ = "digest binary, width int, height int, sample_bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "digest binary, width int, height int, sample_bits int, payload_bytes long, tail_crc32 long, media_bytes long, media_digest binary, feature string, shard string, offset long, length long"
+COLUMNS = [c.split()[0] for c in READ.split(", ")]
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Every row with its address and the columns read back from there."""
+    """Every row with its address and the columns read back from there, anew by each action on the result."""
     scratch = Scratch(docs.sparkSession, "media")
     root = scratch.path("shards")
     rows = scratch.put(store(docs, root), "rows")
     chosen = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    chosen = scratch.put(chosen, "chosen")
     # a shard's members are read in order by one task; shards are of bounded size
     members = chosen.repartition("shard").sortWithinPartitions("shard", "offset")
-    read = scratch.put(members.mapInPandas(read_columns(root), READ).join(chosen, "digest"), "read")
-    return rows.select("doc_id", "n_bytes", "digest").join(read, "digest").drop("digest")
+    # addresses go through the read and digests are hexadecimal last, which spares a join and bytes
+    read = members.mapInPandas(read_columns(root), READ)
+    out = rows.select("doc_id", "n_bytes", "digest").join(read, "digest")
+    return out.select(
+        "doc_id", "n_bytes", "width", "height", "sample_bits", "payload_bytes", F.lower(F.hex("digest")).alias("payload_sha256"), "tail_crc32",
+        "media_bytes", F.lower(F.hex("media_digest")).alias("media_sha256"), "feature", "shard", "offset", "length",
+    )

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import tarfile
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -393,6 +396,47 @@ def test_media(docs, rows, empty):
     assert media.media_columns(empty).count() == 0
 
 
+def stored(spark):
+    """The folders of the media operator's runs, newest last."""
+    return sorted(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("media-*"), key=lambda p: p.stat().st_mtime_ns)
+
+
+def test_media_on_disk(spark):
+    """Besides the shards, only rows and addresses are stored, and addresses are those that tarfile finds."""
+    r = random.Random(17)
+    texts = [words(r, 10 + i % 40) for i in range(3000)]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = media.media_columns(given).toPandas()
+    root = stored(spark)[-1]
+    shards = next(root.glob("*-shards"))
+    rest = sum(p.stat().st_size for p in root.rglob("*.parquet"))
+    assert len(got) == 3000 and rest < 100 * len(got)
+    assert got.set_index("doc_id")["payload_sha256"].to_dict() == {i: hashlib.sha256(t.encode() + bytes(-len(t) % 64)).hexdigest() for i, t in enumerate(texts)}
+    found = {}
+    for p in shards.glob("*.tar"):
+        with tarfile.open(p) as tar:
+            for m in tar:
+                found[p.name, m.offset_data, m.size, m.name.removesuffix(".png")] = hashlib.sha256(tar.extractfile(m).read()).hexdigest()
+    assert {(x.shard, x.offset, x.length, x.payload_sha256): x.media_sha256 for x in got.itertuples()}.items() <= found.items()
+    assert (got["media_bytes"] == got["length"]).all()
+
+
+def test_media_of_another_content_fails(spark):
+    given = spark.createDataFrame([(1, "one text"), (2, "two text")], "doc_id long, text string").coalesce(1)
+    media.media_columns(given)
+    root = stored(spark)[-1]
+    shards = next(root.glob("*-shards"))
+    tar = next(shards.glob("*.tar"))
+    at = media.to_png(media.padded("one text"))
+    other = media.to_png(media.padded("own text"))
+    assert len(at) == len(other) and at in tar.read_bytes()
+    tar.write_bytes(tar.read_bytes().replace(at, other))
+    digest = hashlib.sha256(media.padded("one text")).digest()
+    frame = pd.DataFrame([(digest, tar.name, tar.read_bytes().index(other), len(other))], columns=["digest", "shard", "offset", "length"])
+    with pytest.raises(ValueError, match="another content"):
+        list(media.read_columns(f"file://{shards}")(iter([frame])))
+
+
 def test_media_round_trip():
     for t in ("", "a", "x" * 64, "é" * 999):
         p = media.padded(t)
