@@ -4,7 +4,12 @@ import time
 
 from pyspark.sql import functions as F
 
+from riskloom import queries
+from riskloom.plans.analysis import analyse
 from riskloom.plans.evaluate import evaluate
+from riskloom.sources.ledger import from_tables
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_a_large_ring_is_measured_in_proportion(spark, tmp_path):
@@ -18,3 +23,16 @@ def test_a_large_ring_is_measured_in_proportion(spark, tmp_path):
     row = evaluate(mules.withColumn("risk", F.lit(0.6)), spark.read.parquet(f"{tmp_path}/rings"), mules, true).first()
     assert time.perf_counter() - began < 60
     assert (row["tp"], row["rings_matched"], row["rings_true"], row["false_positive_rings"]) == (n + 2, n // 2, n // 2 + 1, 1)
+
+
+def test_a_query_makes_only_the_tables_it_reads(spark):
+    """Queries that show no ring make none, and those that show no account's transfers don't store them by account."""
+    a, made = analyse(from_tables(spark, SF), queries.SQL_DETECTORS), lambda: set(vars(a)) & {"findings", "account_risk", "rings", "touching"}
+    for name, parts in {
+        "network_association": {"findings"}, "under_review": {"account_risk"}, "account_signals": set(), "account_profile": set(), "review_queue": set(), "seed_measures": set(),
+        "search": {"rings"}, "rings_list": set(), "enriched_edges": set(), "summary": set(), "evaluate": set(), "suspicious_edges": {"touching"},
+    }.items():
+        before = made()
+        queries.QUERIES[name].f(a).count()
+        assert made() - before == parts, name
+    assert a.rings is a.rings and a.findings is a.findings
